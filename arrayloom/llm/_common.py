@@ -58,7 +58,8 @@ def ranked(df: DataFrame, group: str, order: str, name: str, ties: list[str], bl
     ``order`` is a non-null long; equal values are ranked by ``ties``.  No task
     holds a whole group: the order is cut at quantiles into blocks of about
     ``block_rows`` rows, rows are numbered inside (group, block), and the running
-    counts of the blocks before, a table of groups x blocks, are added.
+    counts of the blocks before are added.  That table is broadcast: it has at most
+    groups x ``most_blocks`` rows, so callers have a fixed, small number of groups.
     """
     total = df.count()
     blocks = max(1, min(most_blocks, -(-total // block_rows)))
@@ -76,7 +77,7 @@ def ranked(df: DataFrame, group: str, order: str, name: str, ties: list[str], bl
     counts = df.groupBy(group, "_block").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.select(F.col(group).alias("_g"), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     df = df.withColumn("_row", F.row_number().over(inside) - 1)
-    joined = df.join(bounded(counts), (F.col(group) == F.col("_g")) & (F.col("_block") == F.col("_b")))
+    joined = df.join(F.broadcast(counts), (F.col(group) == F.col("_g")) & (F.col("_block") == F.col("_b")))
     return joined.withColumn(name, F.col("_before") + F.col("_row")).drop("_g", "_b", "_before", "_row", "_block")
 
 

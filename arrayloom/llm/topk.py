@@ -144,13 +144,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     inner product; ties go to the smaller id; a query's own id is no candidate.
     Null ids, null or empty vectors and vectors with a null, NaN or infinite
     component take no part; vectors of unlike length are never compared.  Repeated
-    rows of one id count as rows of their own.  An empty table gives no rows.
+    candidates count as rows of their own, repeated queries once; a query id with
+    several vectors gets the best rows over all of them.  No rows give no rows.
 
     Queries and data are dealt into blocks of bounded size; each pair of blocks is
     one dual-tree search, and the few best of each pair are merged.
     """
     usable = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")).alias("v"), F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).alias("ok")).where("id is not null and v is not null and ok and size(v) > 0").drop("ok")
-    data, asked = usable(vectors), usable(queries)
+    data, asked = usable(vectors), usable(queries).dropDuplicates(["id", "v"])
     n, m = data.count(), asked.count()
     n_blocks, m_blocks = max(1, -(-n // data_block)), max(1, -(-m // query_block))
     deal = lambda df, own, other, mine, theirs: df.select("*", F.pmod(F.xxhash64("id", "v"), F.lit(own)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(theirs))
