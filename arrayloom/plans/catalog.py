@@ -88,18 +88,18 @@ def r4(c: Column | str) -> Column:
 # Index maps.
 
 
-@query("1-5,9-12,16,199", "SELECT i, (i + 3) % n AS right_mod, (i - 3 + n) % n AS left_mod, least(i + 3, n - 1) AS right_bump, greatest(i - 3, 0) AS left_bump, 2 * i AS twice, CASE WHEN i >= 3 THEN i - 3 END AS inverse, i + 100 AS rebased FROM o, n", "o", "n")
+@query("1-5,9-12,16,199", "SELECT i, (i + 3) % n AS right_mod, (i - 3 + n) % n AS left_mod, least(i + 3, n - 1) AS right_bump, greatest(i - 3, 0) AS left_bump, 2 * i AS twice, CASE WHEN i >= 3 THEN i - 3 ELSE -1 END AS inverse, i + 100 AS rebased FROM o, n", "o", "n")
 def index_maps(spark, d):
     o = orders(spark, d)
     n = o.count()
-    return o.select("i", ix.shift_mod(I, 3, n).alias("right_mod"), ix.shift_mod(I, -3, n).alias("left_mod"), ix.shift_bump(I, 3, n).alias("right_bump"), ix.shift_bump(I, -3, n).alias("left_bump"), (2 * I).alias("twice"), ix.inverse_shift(I, 3, n).alias("inverse"), ix.shift_to(I, 0, 100).alias("rebased"))
+    return o.select("i", ix.shift_mod(I, 3, n).alias("right_mod"), ix.shift_mod(I, -3, n).alias("left_mod"), ix.shift_bump(I, 3, n).alias("right_bump"), ix.shift_bump(I, -3, n).alias("left_bump"), (2 * I).alias("twice"), F.coalesce(ix.inverse_shift(I, 3, n), F.lit(-1)).alias("inverse"), ix.shift_to(I, 0, 100).alias("rebased"))
 
 
-@query("13,14", "SELECT i, CASE WHEN i + 3 < n THEN i + 3 END AS inverse_left, CASE WHEN i - 3 >= 0 THEN i - 3 END AS inverse_right FROM o, n", "o", "n")
+@query("13,14", "SELECT i, CASE WHEN i + 3 < n THEN i + 3 ELSE -1 END AS inverse_left, CASE WHEN i - 3 >= 0 THEN i - 3 ELSE -1 END AS inverse_right FROM o, n", "o", "n")
 def index_inverse(spark, d):
     o = orders(spark, d)
     n = o.count()
-    return o.select("i", ix.inverse_shift(I, -3, n).alias("inverse_left"), ix.inverse_shift(I, 3, n).alias("inverse_right"))
+    return o.select("i", *[F.coalesce(ix.inverse_shift(I, k, n), F.lit(-1)).alias(c) for k, c in ((-3, "inverse_left"), (3, "inverse_right"))])
 
 
 @query("5,18,19", "SELECT c.i, c.i * 3 + k AS j FROM c, range(3) AS r(k)", "c")
