@@ -2,44 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Largest number of narrow rows (a few longs each) that may be broadcast.
-BROADCAST_ROWS = 500_000
-
-
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The session's ``spark.checkpoint.dir`` names it; only where that is unset, as
-    in local tests, a temporary folder of this machine is used.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="arrayloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+from arrayloom.plans.lineage import cut, shared_folder
 
+__all__ = ["bounded", "cut", "ranked", "sample", "shared_folder", "small"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    The lineage ends there, so a lost executor costs a re-read, not a re-run.
-    """
-    path = f"{shared_folder(session(df)).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return session(df).read.schema(df.schema).parquet(path)
+#: Largest number of narrow rows (a few longs each) that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
@@ -90,3 +62,19 @@ def _bisect(bounds: Column, x: Column, n: int) -> Column:
         at = F.when((nxt <= n) & (F.get(bounds, nxt - 1) < x), nxt).otherwise(at)
         step >>= 1
     return at
+
+
+def sample(df: DataFrame, label: str, key: str, rows: int, most_labels: int) -> DataFrame:
+    """At most ``rows`` rows of each label, the least by a hash of ``key``; null labels are out.
+
+    Labels are counted first, and the hash alone thins each to about four times
+    ``rows``, so the task that picks them sees no more however large ``df`` is.  Only
+    the first ``most_labels`` labels in order take part.
+    """
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(label).limit(most_labels)
+    steps = 1 << 30
+    rates = counts.select(F.col(label).alias("_label"), F.least(F.ceil(F.lit(4.0 * rows * steps) / F.col("_n")), F.lit(steps)).cast("long").alias("_rate"))
+    at = F.xxhash64(key)
+    thin = df.join(F.broadcast(rates), F.col(label) == F.col("_label")).where(F.pmod(at, F.lit(steps)) < F.col("_rate"))
+    order = Window.partitionBy(label).orderBy(at, key)
+    return thin.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= rows).drop("_k", "_label", "_rate")

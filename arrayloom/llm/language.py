@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrayloom.llm._common import bounded, cut
+from arrayloom.llm._common import sample as sample_rows
 from arrayloom.llm._words import chunks
 
 UNKNOWN = "und"
@@ -67,15 +68,17 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def train(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, most_languages: int = 200) -> Model:
-    """Fit the trigram model on a sample of labelled rows, chosen by a hash of the key.
+    """Fit the trigram model on a sample of labelled rows, chosen by a hash of the text.
 
     The bounds are ``rows`` a language, ``most_bytes`` a row and ``most_languages``
     languages, by name; null labels and texts take no part.
     """
     usable = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= most_bytes) & (F.octet_length(text) > 0))
-    order = Window.partitionBy(label).orderBy(F.xxhash64(key), key, F.xxhash64(text))
-    picked = usable.select(F.col(label).alias("label"), F.col(text).alias("text"), F.row_number().over(order).alias("n")).where(F.col("n") <= rows)
-    sample = picked.select("label", "text").orderBy("label").limit(rows * most_languages).toArrow()
+    known = usable.select(F.col(label).alias("label"), F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"))
+    picked = sample_rows(known, "label", "_hash", rows, most_languages).select("_key", "_hash").distinct()
+    texts = usable.select(F.col(label).alias("label"), F.col(text).alias("text"), F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"))
+    found = texts.join(F.broadcast(picked), texts["_key"].eqNullSafe(picked["_key"]) & (texts["_hash"] == picked["_hash"]), "left_semi")
+    sample = found.select("label", "text").orderBy("label", "text").limit(2 * rows * most_languages).toArrow()
     labels = np.array(sample.column("label").to_pylist(), dtype=object)
     names = tuple(sorted(set(labels)))[:most_languages]
     counts = np.zeros((len(names) + 1, BUCKETS))

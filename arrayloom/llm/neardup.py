@@ -32,7 +32,7 @@ MOST_BITS = 32
 #: similarity 0.8 differs in 204.8 +- 13.6 of them.
 LONG_BITS, MOST_LONG_BITS = 2048, 264
 #: Regions that are thrown at in one call.
-REGIONS = 2_000_000
+REGIONS = 400_000
 #: Rows of a bucket that are compared with each other in one task.
 BLOCK = 2000
 _FIRST = -(1 << 63)

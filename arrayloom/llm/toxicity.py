@@ -20,9 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arrayloom.llm._common import sample as sample_rows
 from arrayloom.llm._words import chunks, mix, powers
 
 SYMBOLS = 42
@@ -247,8 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     ``most_bytes``; of several labels of one key the largest holds.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
-    sample = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).select("k", "y")
+    sample = sample_rows(known, "y", "k", rows, 2).select("k", "y")
     found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") <= most_bytes)).join(F.broadcast(sample), "k")
     rows_ = found.groupBy("k").agg(F.max("y").alias("y"), F.max("t").alias("t")).toArrow().sort_by("k")
     return fit(rows_.column("t").combine_chunks(), rows_.column("y").to_numpy().astype(np.int64))
