@@ -21,7 +21,15 @@ COVERS: dict[str, str] = {}
 
 P = 8
 GRID = 20
-I, V = F.col("i"), F.col("v")
+
+
+def I() -> Column:  # noqa: E743
+    return F.col("i")
+
+
+def V() -> Column:
+    return F.col("v")
+
 
 # Named parts of the SQL texts.
 CTE = {
@@ -65,7 +73,7 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
 
 def grid(spark: SparkSession, d: str) -> tuple[DataFrame, list[int]]:
     x = parts(spark, d)
-    return x.select(ix.floor_div(I, GRID).alias("i0"), F.pmod(I, F.lit(GRID)).alias("i1"), "v"), [x.count() // GRID, GRID]
+    return x.select(ix.floor_div(I(), GRID).alias("i0"), F.pmod(I(), F.lit(GRID)).alias("i1"), "v"), [x.count() // GRID, GRID]
 
 
 def matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -92,24 +100,24 @@ def r4(c: Column | str) -> Column:
 def index_maps(spark, d):
     o = orders(spark, d)
     n = o.count()
-    return o.select("i", ix.shift_mod(I, 3, n).alias("right_mod"), ix.shift_mod(I, -3, n).alias("left_mod"), ix.shift_bump(I, 3, n).alias("right_bump"), ix.shift_bump(I, -3, n).alias("left_bump"), (2 * I).alias("twice"), F.coalesce(ix.inverse_shift(I, 3, n), F.lit(-1)).alias("inverse"), ix.shift_to(I, 0, 100).alias("rebased"))
+    return o.select("i", ix.shift_mod(I(), 3, n).alias("right_mod"), ix.shift_mod(I(), -3, n).alias("left_mod"), ix.shift_bump(I(), 3, n).alias("right_bump"), ix.shift_bump(I(), -3, n).alias("left_bump"), (2 * I()).alias("twice"), F.coalesce(ix.inverse_shift(I(), 3, n), F.lit(-1)).alias("inverse"), ix.shift_to(I(), 0, 100).alias("rebased"))
 
 
 @query("13,14", "SELECT i, CASE WHEN i + 3 < n THEN i + 3 ELSE -1 END AS inverse_left, CASE WHEN i - 3 >= 0 THEN i - 3 ELSE -1 END AS inverse_right FROM o, n", "o", "n")
 def index_inverse(spark, d):
     o = orders(spark, d)
     n = o.count()
-    return o.select("i", *[F.coalesce(ix.inverse_shift(I, k, n), F.lit(-1)).alias(c) for k, c in ((-3, "inverse_left"), (3, "inverse_right"))])
+    return o.select("i", *[F.coalesce(ix.inverse_shift(I(), k, n), F.lit(-1)).alias(c) for k, c in ((-3, "inverse_left"), (3, "inverse_right"))])
 
 
 @query("5,18,19", "SELECT c.i, c.i * 3 + k AS j FROM c, range(3) AS r(k)", "c")
 def index_base_multiply(spark, d):
-    return customers(spark, d).select("i", F.explode(ix.spread(I, 3)).alias("j"))
+    return customers(spark, d).select("i", F.explode(ix.spread(I(), 3)).alias("j"))
 
 
 @query("6,20", "SELECT DISTINCT i // 7 AS i FROM c", "c")
 def index_divide(spark, d):
-    return customers(spark, d).select(ix.floor_div(I, 7).alias("i")).distinct()
+    return customers(spark, d).select(ix.floor_div(I(), 7).alias("i")).distinct()
 
 
 @query("7", "SELECT c_nationkey AS k, min(c_custkey) // 4 AS first, (max(c_custkey) + 1) // 4 - 1 AS last, 1::BIGINT AS stride FROM customer GROUP BY 1")
@@ -120,7 +128,7 @@ def index_contiguous_divide(spark, d):
 
 @query("8,202", "SELECT i, (i * i + 1) % 97 AS j FROM c", "c")
 def index_function(spark, d):
-    return customers(spark, d).select("i", F.pmod(I * I + 1, F.lit(97)).alias("j"))
+    return customers(spark, d).select("i", F.pmod(I() * I() + 1, F.lit(97)).alias("j"))
 
 
 @query("15-17", "SELECT i0, i1, i0 + d0 AS j0, i1 + d1 AS j1 FROM g, (VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) AS m(d0, d1)", "g")
@@ -139,7 +147,7 @@ def coordinates(spark, d):
 
 @query("24", "SELECT i, i // 60 AS i0, (i // 12) % 5 AS i1, i % 12 AS i2 FROM o", "o")
 def delinearize(spark, d):
-    return orders(spark, d).select("i", *[c.alias(f"i{k}") for k, c in enumerate(ix.delinear(I, [1, 5, 12]))])
+    return orders(spark, d).select("i", *[c.alias(f"i{k}") for k, c in enumerate(ix.delinear(I(), [1, 5, 12]))])
 
 
 @query("27,36", "SELECT i FROM c WHERE i IN (1, 5, 9, 1000000)", "c")
@@ -151,7 +159,7 @@ def coordinate_set(spark, d):
 @query("28", "SELECT count(*) AS breaks FROM (SELECT i, lead(i) OVER (ORDER BY i) AS next FROM c) WHERE next <= i", "c")
 def require_sorted(spark, d):
     c = customers(spark, d).select("i")
-    return sets.rank(c).select(I, (F.col("rank") + 1).alias("k")).join(sets.rank(c).select(I.alias("next"), F.col("rank").alias("k")), "k").agg(F.sum((F.col("next") <= I).cast("long")).alias("breaks"))
+    return sets.rank(c).select(I(), (F.col("rank") + 1).alias("k")).join(sets.rank(c).select(I().alias("next"), F.col("rank").alias("k")), "k").agg(F.sum((F.col("next") <= I()).cast("long")).alias("breaks"))
 
 
 @query("26", "SELECT * FROM (VALUES (8, 4, 2), (12, 4, 3), (7, 7, 1)) AS t(p, a, b)")
@@ -184,13 +192,13 @@ def set_relations(spark, d):
 
 @query("38,39,40", "SELECT i, i < 50 AS low FROM (SELECT i + 2 AS i FROM t) WHERE i >= 10 AND i <= 99", "t")
 def set_split_truncate(spark, d):
-    low, high = sets.split(sets.truncate(thirds(spark, d).select((I + 2).alias("i")), 10, 99), 50)
+    low, high = sets.split(sets.truncate(thirds(spark, d).select((I() + 2).alias("i")), 10, 99), 50)
     return low.withColumn("low", F.lit(True)).union(high.withColumn("low", F.lit(False)))
 
 
 @query("41", "SELECT i + 1000 AS i FROM t", "t")
 def set_translate(spark, d):
-    return thirds(spark, d).select((I + 1000).alias("i"))
+    return thirds(spark, d).select((I() + 1000).alias("i"))
 
 
 @query("42,49", "SELECT i, local FROM (SELECT i, row_number() OVER (ORDER BY i) - 1 AS local FROM s) WHERE i IN (SELECT i FROM t)", "s", "t")
@@ -240,18 +248,18 @@ BLOCK = f"((i + 1) * {P} - 1) // n"
 @query("25,55,81", f"SELECT {BLOCK} AS p, min(i) AS first, max(i) AS last, count(*) AS size FROM o, n GROUP BY 1", "o", "n")
 def blocks_orthogonal(spark, d):
     o = orders(spark, d)
-    return o.groupBy(ix.block(I, o.count(), P).alias("p")).agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count(F.lit(1)).alias("size"))
+    return o.groupBy(ix.block(I(), o.count(), P).alias("p")).agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count(F.lit(1)).alias("size"))
 
 
 @query("57,60", "SELECT CASE WHEN i < (n % 7) * (n // 7 + 1) THEN i // (n // 7 + 1) ELSE n % 7 + (i - (n % 7) * (n // 7 + 1)) // (n // 7) END AS p, count(*) AS size FROM o, n GROUP BY 1", "o", "n")
 def blocks_first_larger(spark, d):
     o = orders(spark, d)
-    return o.groupBy(ix.block_first_larger(I, o.count(), 7).alias("p")).agg(F.count(F.lit(1)).alias("size"))
+    return o.groupBy(ix.block_first_larger(I(), o.count(), 7).alias("p")).agg(F.count(F.lit(1)).alias("size"))
 
 
 @query("58,61,62", "SELECT i, i // 100 AS uniform, i % 8 AS cyclic, (i // 5) % 8 AS block_cyclic FROM o", "o")
 def blocks_cyclic(spark, d):
-    return orders(spark, d).select("i", ix.floor_div(I, 100).alias("uniform"), ix.cyclic(I, 8).alias("cyclic"), ix.block_cyclic(I, 5, 8).alias("block_cyclic"))
+    return orders(spark, d).select("i", ix.floor_div(I(), 100).alias("uniform"), ix.cyclic(I(), 8).alias("cyclic"), ix.block_cyclic(I(), 5, 8).alias("block_cyclic"))
 
 
 @query("59,75", "SELECT c_nationkey AS p, (sum(size) OVER (ORDER BY c_nationkey) - size)::BIGINT AS first, size FROM (SELECT c_nationkey, count(*) AS size FROM customer GROUP BY 1)")
@@ -274,21 +282,21 @@ def blocks_by_value(spark, d):
 @query("66,67,69,130,131,139", f"SELECT {BLOCK} AS p, round(max(v) - min(v), 4) AS spread, count(*) AS size FROM o, n GROUP BY 1", "o", "n")
 def gather_by_block(spark, d):
     o = orders(spark, d)
-    return o.groupBy(ix.block(I, o.count(), P).alias("p")).agg(r4(F.max("v") - F.min("v")).alias("spread"), F.count(F.lit(1)).alias("size"))
+    return o.groupBy(ix.block(I(), o.count(), P).alias("p")).agg(r4(F.max("v") - F.min("v")).alias("spread"), F.count(F.lit(1)).alias("size"))
 
 
 @query("68", f"SELECT i, v FROM o, n WHERE {BLOCK} IN (1, 4)", "o", "n")
 def masked_distribution(spark, d):
     o = orders(spark, d)
-    return o.where(ix.block(I, o.count(), P).isin(1, 4))
+    return o.where(ix.block(I(), o.count(), P).isin(1, 4))
 
 
 @query("70-74,116", f"SELECT i // 2 AS i, (i // 2) * {P} // (n // 2 + 1) AS p, v FROM o, n WHERE i % 2 = 0 AND i // 2 < 1000", "o", "n")
 def redistribute(spark, d):
     o = orders(spark, d)
     n = o.count()
-    halves = o.where("i % 2 = 0").withColumn("i", ix.floor_div(I, 2)).where("i < 1000")
-    return halves.select("i", ix.floor_div(I * P, n // 2 + 1).alias("p"), "v")
+    halves = o.where("i % 2 = 0").withColumn("i", ix.floor_div(I(), 2)).where("i < 1000")
+    return halves.select("i", ix.floor_div(I() * P, n // 2 + 1).alias("p"), "v")
 
 
 @query("76", "SELECT * FROM (VALUES (0, 21), (1, 38), (2, 55), (3, 73)) AS t(p, size)")
@@ -307,14 +315,14 @@ def partitioning_points(spark, d):
 def infer_types(spark, d):
     o = orders(spark, d).select("i")
     n = o.count()
-    a = distribution.infer_type(o.withColumn("p", ix.block(I, n, P))).select(F.col("kind").alias("of_blocks"))
-    return a.crossJoin(distribution.infer_type(o.withColumn("p", ix.cyclic(I, P))).select(F.col("kind").alias("of_cycles")))
+    a = distribution.infer_type(o.withColumn("p", ix.block(I(), n, P))).select(F.col("kind").alias("of_blocks"))
+    return a.crossJoin(distribution.infer_type(o.withColumn("p", ix.cyclic(I(), P))).select(F.col("kind").alias("of_cycles")))
 
 
 @query("83", f"SELECT p, round((l + coalesce(a, 0) + coalesce(b, 0)) / (1 + (a IS NOT NULL)::INT + (b IS NOT NULL)::INT), 4) AS load FROM (SELECT p, l, lag(l) OVER (ORDER BY p) AS a, lead(l) OVER (ORDER BY p) AS b FROM (SELECT {BLOCK} AS p, sum(v) AS l FROM o, n GROUP BY 1))", "o", "n")
 def smooth_load(spark, d):
     o = orders(spark, d)
-    load = o.groupBy(ix.block(I, o.count(), P).alias("p")).agg(F.sum("v").alias("l")).orderBy("p").limit(P).collect()
+    load = o.groupBy(ix.block(I(), o.count(), P).alias("p")).agg(F.sum("v").alias("l")).orderBy("p").limit(P).collect()
     return spark.createDataFrame([(k, round(x, 4)) for k, x in enumerate(distribution.smooth([1.0] * P, [r["l"] for r in load]))], "p long, load double")
 
 
@@ -344,8 +352,8 @@ def copy(spark, d):
 @query("89,90,92-94,198,203", f"SELECT i, 3.5 AS constant, CASE WHEN i = 7 THEN 1.0 ELSE 0.0 END AS delta, i::DOUBLE AS filled, {BLOCK} AS p, ({BLOCK}) + 0.5 AS gen FROM range(1000) AS r(i), (SELECT 1000 AS n)")
 def generated(spark, d):
     n = 1000
-    p = ix.block(I, n, P)
-    return src.generate(spark, n, 3.5).withColumnRenamed("v", "constant").select("i", "constant", F.when(I == 7, 1.0).otherwise(0.0).alias("delta"), I.cast("double").alias("filled"), p.alias("p"), (p + 0.5).alias("gen"))
+    p = ix.block(I(), n, P)
+    return src.generate(spark, n, 3.5).withColumnRenamed("v", "constant").select("i", "constant", F.when(I() == 7, 1.0).otherwise(0.0).alias("delta"), I().cast("double").alias("filled"), p.alias("p"), (p + 0.5).alias("gen"))
 
 
 @query("91", f"SELECT i, ({BLOCK})::DOUBLE AS v FROM o, n", "o", "n")
@@ -361,7 +369,7 @@ def linear_fill_3d(spark, d):
 @query("95,97,208", "SELECT i, round(1 + sqrt(n) * exp(0 - pow((i - 100) / 10.0, 2)), 6) AS v FROM o, n", "o", "n")
 def moving_weights(spark, d):
     o = orders(spark, d)
-    return o.select("i", F.round(src.moving_weight(I, o.count(), 100.0), 6).alias("v"))
+    return o.select("i", F.round(src.moving_weight(I(), o.count(), 100.0), 6).alias("v"))
 
 
 @query("96,208", "SELECT k, k / 5.0::DOUBLE AS c0, k / 5.0::DOUBLE AS c1 FROM range(5) AS r(k)")
@@ -384,7 +392,7 @@ def plan_summary(spark, d):
 @query("104,106,107,114,119", "SELECT i, round(v * 2.5, 6) AS scaled, v * 2 AS twice, v / 3 AS divided, sqrt(v) AS root, round(ln(v + 1) * 2, 6) AS own FROM o", "o")
 def pointwise(spark, d):
     own = lambda v: F.round(F.log(v + 1) * 2, 6)
-    return orders(spark, d).select("i", F.round(V * 2.5, 6).alias("scaled"), (V * 2).alias("twice"), (V / 3).alias("divided"), F.sqrt("v").alias("root"), own(V).alias("own"))
+    return orders(spark, d).select("i", F.round(V() * 2.5, 6).alias("scaled"), (V() * 2).alias("twice"), (V() / 3).alias("divided"), F.sqrt("v").alias("root"), own(V()).alias("own"))
 
 
 @query("105,108,113", "SELECT o.i, round(o.v * m.s, 4) AS times, round(o.v / m.s, 8) AS over FROM o, (SELECT max(v) AS s FROM c) AS m", "o", "c")
@@ -420,7 +428,7 @@ def norms(spark, d):
 @query("122,123", f"SELECT {BLOCK} AS p, round(sum(v * v) / 1e6, 3) AS norm_squared, round(sqrt(sum(v * v)), 4) AS norm FROM o, n GROUP BY 1", "o", "n")
 def local_norms(spark, d):
     o = orders(spark, d)
-    x = ar.norms(o, ix.block(I, o.count(), P))
+    x = ar.norms(o, ix.block(I(), o.count(), P))
     return x.select("p", F.round(F.col("norm_squared") / 1e6, 3).alias("norm_squared"), r4("norm").alias("norm"))
 
 
@@ -431,7 +439,7 @@ def inner_products(spark, d):
 
 @query("124", "SELECT c.i // 200 AS p, round(sum(c.v * x.v), 2) AS dot FROM c JOIN x USING (i) GROUP BY 1", "c", "x")
 def local_inner_products(spark, d):
-    return ar.inner_product(customers(spark, d), parts(spark, d), ix.floor_div(I, 200)).select("p", F.round("dot", 2).alias("dot"))
+    return ar.inner_product(customers(spark, d), parts(spark, d), ix.floor_div(I(), 200)).select("p", F.round("dot", 2).alias("dot"))
 
 
 @query("132-135,205", "SELECT s AS flat, s AS grouped, s AS halved FROM (SELECT round(sum(v), 2) AS s FROM o)", "o")
@@ -451,7 +459,7 @@ def reduce_scatter(spark, d):
 
 @query("141", "SELECT i, sum(round(v * 100)::BIGINT) OVER (ORDER BY i)::BIGINT AS prefix FROM o", "o")
 def prefix_sums(spark, d):
-    cents = orders(spark, d).select("i", F.round(V * 100).cast("long").alias("v"))
+    cents = orders(spark, d).select("i", F.round(V() * 100).cast("long").alias("v"))
     return sets.prefix_sum(cents).select("i", "prefix")
 
 
@@ -497,7 +505,7 @@ def shifts(spark, d):
 @query("149-151,206", f"SELECT i, round(2 * v - coalesce(a, 0) - coalesce(b, 0), 6) AS v, round((2 * v - coalesce(a, 0) - coalesce(b, 0)) / 6, 6) AS damped FROM {LAGS.format('e')}", "e")
 def central_difference(spark, d):
     out = ar.stencil(events(spark, d), {0: 2.0, -1: -1.0, 1: -1.0})
-    return out.select("i", F.round("v", 6).alias("v"), F.round(V / 6, 6).alias("damped"))
+    return out.select("i", F.round("v", 6).alias("v"), F.round(V() / 6, 6).alias("damped"))
 
 
 @query("154,156,203", f"SELECT i, round(v + coalesce(a, 0) + coalesce(b, 0), 6) AS v FROM {LAGS.format('e')}", "e")
@@ -509,7 +517,7 @@ def three_point_sum(spark, d):
 def three_point_modulo(spark, d):
     e = events(spark, d)
     n = e.count()
-    targets = F.explode(F.array(ix.shift_mod(I, -1, n), I, ix.shift_mod(I, 1, n)))
+    targets = F.explode(F.array(ix.shift_mod(I(), -1, n), I(), ix.shift_mod(I(), 1, n)))
     return e.select(targets.alias("i"), "v").groupBy("i").agg(F.round(F.sum("v"), 6).alias("v"))
 
 
@@ -672,7 +680,7 @@ def component_sums(spark, d):
 @query("183", "WITH p AS (SELECT s_suppkey AS i, s_acctbal AS x, s_nationkey + 1.0 AS m FROM supplier) SELECT a.i, round(sum(b.m / (1 + abs(a.x - b.x))), 6) AS v FROM p AS a JOIN p AS b ON a.i <> b.i GROUP BY 1")
 def all_pairs(spark, d):
     p = src.table(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("x"), (F.col("s_nationkey") + 1.0).alias("m"))
-    out = keyed.all_pairs(p, F.col("mj") / (1 + F.abs(F.col("x") - F.col("xj"))), F.pmod(I, F.lit(4)))
+    out = keyed.all_pairs(p, F.col("mj") / (1 + F.abs(F.col("x") - F.col("xj"))), F.pmod(I(), F.lit(4)))
     return out.select("i", F.round("v", 6).alias("v"))
 
 
