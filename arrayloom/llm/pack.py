@@ -109,8 +109,11 @@ def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, tex
     bounds = bounds_of(docs.select(count.alias("n")), "n", buckets)
     if not bounds:
         bounds = [0]
-    bucket, padded, room = F.lit(None), F.lit(None), F.lit(None)
-    for i, bound in reversed(list(enumerate(bounds))):
+    # The last bound is the greatest length, so it needs no test; a bucket that cannot be
+    # null gets no null filter, which would count each row's words once a bound.
+    last = len(bounds) - 1
+    bucket, padded, room = F.lit(last), F.lit(bounds[last]), F.lit(max(1, budget // max(1, bounds[last])))
+    for i, bound in reversed(list(enumerate(bounds[:last]))):
         here = F.col("n_tokens") <= bound
         bucket, padded = F.when(here, i).otherwise(bucket), F.when(here, bound).otherwise(padded)
         room = F.when(here, max(1, budget // max(1, bound))).otherwise(room)
