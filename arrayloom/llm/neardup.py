@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from arrayloom.llm._common import BROADCAST_ROWS, bounded, cut
 from arrayloom.llm._words import chunks, hashes, mix, split, sums, window
@@ -209,9 +210,15 @@ def similarity(x: pa.Array, y: pa.Array, length: int = SHINGLE) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component of edges (a, b).
 
-    Rounds of neighbours' minimum and of following one's label, each cut; only the
-    count of changes comes to the driver.
+    First each node b keeps the link to its least partner alone, and its other partners
+    are linked with that one: they are hubs that many nodes share, so few links are
+    left a node.  Then rounds of neighbours' minimum and of following one's label, each
+    cut; only the count of changes comes to the driver.
     """
+    stars = edges.select("a", "b", F.min("a").over(Window.partitionBy("b")).alias("low"))
+    # Each row gives (low, b) and (low, a); that of the least partner gives (low, b) twice.
+    ends = F.explode(F.array("b", F.when(F.col("a") != F.col("low"), F.col("a")).otherwise(F.col("b"))))
+    edges = cut(stars.select(F.col("low").alias("a"), ends.alias("b")).distinct())
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:

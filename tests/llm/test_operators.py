@@ -251,3 +251,20 @@ def test_pipeline(spark):
         assert new.columns == table.columns and 0 < new.count() <= docs.count(), name
         docs = spark.createDataFrame(new.collect(), new.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == docs.count()
+
+
+def test_components_against_union_find(spark):
+    rng = np.random.default_rng(3)
+    edges = sorted({(int(min(p)), int(max(p))) for p in rng.integers(0, 60, (45, 2)) if p[0] != p[1]})
+    root = list(range(60))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r["node"]: r["label"] for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for e in edges for x in e}
