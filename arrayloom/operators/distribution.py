@@ -1,7 +1,8 @@
 """Distributions: owner tables of blocks, and their transforms.
 
 A table of blocks is (p, first, size) with a row per block.  It is as small as the
-number of processes, a setting of the driver, so window functions over it are cheap.
+number of processes, a setting of the driver, so window functions over it are cheap;
+only :func:`overlapping` and :func:`owner` know tables that grow with the array.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arrayloom.functions import index as ix
+from arrayloom.operators.sets import CHUNK
 
 
 def blocks(spark: SparkSession, bounds: list[int]) -> DataFrame:
@@ -28,10 +30,29 @@ def from_sizes(sizes: DataFrame) -> DataFrame:
     return sizes.withColumn("first", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long")).select("p", "first", "size")
 
 
-def owner(array: DataFrame, table: DataFrame) -> DataFrame:
-    """Add p, the first block that holds each index; blocks may overlap."""
-    held = array.join(F.broadcast(table), (F.col("i") >= F.col("first")) & (F.col("i") < F.col("first") + F.col("size")))
-    return held.groupBy(*array.columns).agg(F.min("p").alias("p"))
+def overlapping(array: DataFrame, step: int, size: int) -> DataFrame:
+    """Blocks of ``size`` from every ``step``-th index on, up to the last index of the array."""
+    last = array.agg(F.max("i").alias("_last")).where("_last >= 0")
+    starts = last.select(F.explode(F.sequence(F.lit(0).cast("long"), ix.floor_div(F.col("_last"), step * CHUNK))).alias("_chunk"), "_last")
+    p = F.explode(F.sequence(F.col("_chunk") * CHUNK, F.least(F.col("_chunk") * CHUNK + (CHUNK - 1), ix.floor_div(F.col("_last"), step))))
+    return starts.select(p.alias("p")).select("p", (F.col("p") * step).alias("first"), F.lit(size).cast("long").alias("size"))
+
+
+def owner(array: DataFrame, table: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Add p, the first block that holds each index; blocks may overlap.
+
+    Indices that no block holds are left out.  The table may be as long as the array:
+    blocks are cut at chunks of indices, whole chunks meet the array by chunk and the
+    rest by index, so nothing is broadcast and no block is tried against all indices.
+    """
+    ends = table.where("size > 0").select("p", "first", (F.col("first") + F.col("size") - 1).alias("last"))
+    cuts = ends.select("p", "first", "last", F.explode(F.sequence(ix.floor_div(F.col("first"), chunk), ix.floor_div(F.col("last"), chunk))).alias("_chunk"))
+    low, high = F.greatest("first", F.col("_chunk") * chunk), F.least("last", F.col("_chunk") * chunk + (chunk - 1))
+    cuts = cuts.select("p", "_chunk", low.alias("low"), high.alias("high")).withColumn("_all", F.col("high") - F.col("low") + 1 == chunk)
+    whole = cuts.where("_all").groupBy("_chunk").agg(F.min("p").alias("_whole"))
+    part = cuts.where("not _all").select("p", F.explode(F.sequence("low", "high")).alias("i")).groupBy("i").agg(F.min("p").alias("_part"))
+    rows = array.withColumn("_chunk", ix.floor_div(F.col("i"), chunk)).join(whole, "_chunk", "left").join(part, "i", "left")
+    return rows.select(*array.columns, F.least("_whole", "_part").alias("p")).where("p IS NOT NULL")
 
 
 def infer_type(owners: DataFrame) -> DataFrame:

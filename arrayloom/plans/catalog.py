@@ -274,6 +274,13 @@ def blocks_first_owner(spark, d):
     return distribution.owner(customers(spark, d).select("i"), table)
 
 
+@query("63,64,80", "SELECT i, min(p) AS p FROM c, (SELECT unnest(range((SELECT max(i) // 3 + 1 FROM c))) AS p) WHERE i >= 3 * p AND i < 3 * p + 5 GROUP BY i", "c")
+def blocks_first_owner_all(spark, d):
+    """As blocks_first_owner, whose SQL has 400 blocks at any size, with blocks up to the last index."""
+    c = customers(spark, d).select("i")
+    return distribution.owner(c, distribution.overlapping(c, 3, 5))
+
+
 @query("65", "SELECT CASE WHEN v < 0 THEN 0 WHEN v >= 10000 THEN 11 ELSE floor(v / 1000)::BIGINT + 1 END::BIGINT AS bin, count(*) AS size FROM c GROUP BY 1", "c")
 def blocks_by_value(spark, d):
     return customers(spark, d).groupBy(F.width_bucket("v", F.lit(0.0), F.lit(10000.0), F.lit(10)).alias("bin")).agg(F.count(F.lit(1)).alias("size"))

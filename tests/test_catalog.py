@@ -53,6 +53,24 @@ def test_balance_keeps_the_total():
     assert sum(stretch([10, 18, 26], 37)) == 37
 
 
+def test_every_index_has_an_owner(spark):
+    folder = "/root/testdata/sf0.01"  # 1500 customers, beyond the 1202 indices of 400 blocks
+    got = {r["i"]: r["p"] for r in catalog.QUERIES["blocks_first_owner_all"](spark, folder).collect()}
+    wanted = [r["i"] for r in catalog.customers(spark, folder).select("i").collect()]
+    assert max(wanted) > 1202
+    assert got == {i: max(0, -(-(i - 4) // 3)) for i in wanted}
+
+
+def test_owner_of_overlapping_blocks(spark):
+    from arrayloom.operators.distribution import owner
+
+    blocks = [(0, 5, 3), (1, 2, 30), (2, 0, 0), (3, 0, 64), (4, 70, 1)]
+    table = spark.createDataFrame(blocks, "p long, first long, size long")
+    got = {r["i"]: r["p"] for r in owner(spark.range(80).withColumnRenamed("id", "i"), table, 8).collect()}
+    held = {i: [p for p, a, n in blocks if a <= i < a + n] for i in range(80)}
+    assert got == {i: min(ps) for i, ps in held.items() if ps}
+
+
 def test_stream(spark, tmp_path):
     from arrayloom.streaming.blocks import running_norms
 
