@@ -298,7 +298,7 @@ def masked_distribution(spark, d):
     return o.where(ix.block(I(), o.count(), P).isin(1, 4))
 
 
-@query("70-74,116", f"SELECT i // 2 AS i, (i // 2) * {P} // (n // 2 + 1) AS p, v FROM o, n WHERE i % 2 = 0 AND i // 2 < 1000", "o", "n")
+@query("73", f"SELECT i // 2 AS i, (i // 2) * {P} // (n // 2 + 1) AS p, v FROM o, n WHERE i % 2 = 0 AND i // 2 < 1000", "o", "n")
 def redistribute(spark, d):
     o = orders(spark, d)
     n = o.count()
@@ -306,6 +306,15 @@ def redistribute(spark, d):
     return halves.select("i", ix.floor_div(I() * P, n // 2 + 1).alias("p"), "v")
 
 
+@query("70-72,74,116", f"SELECT i // 2 AS i, (i // 2) * {P} // (n // 2 + 1) AS p, v FROM o, n WHERE i % 2 = 0", "o", "n")
+def redistribute_all(spark, d):
+    """As redistribute, whose SQL truncates at 1000 at any size, without truncation."""
+    o = orders(spark, d)
+    n = o.count()
+    halves = o.where("i % 2 = 0").withColumn("i", ix.floor_div(I(), 2))
+    return halves.select("i", ix.floor_div(I() * P, n // 2 + 1).alias("p"), "v")
+
+
 @query("76", "SELECT * FROM (VALUES (0, 21), (1, 38), (2, 55), (3, 73)) AS t(p, size)")
 def stretch_blocks(spark, d):
     sizes = distribution.stretch([10, 18, 26, 34], 187)
@@ -603,6 +612,12 @@ def sparse_columns(spark, d):
     return sparse.columns(matrix(spark, d).where("i < 100"))
 
 
+@query("167", "SELECT DISTINCT j FROM a", "a")
+def sparse_columns_all(spark, d):
+    """The columns of the whole matrix; sparse_columns has those of wanted rows."""
+    return sparse.columns(matrix(spark, d))
+
+
 @query("168,170", "SELECT j AS i, i AS j, v FROM a", "a")
 def sparse_transpose(spark, d):
     return sparse.transpose(matrix(spark, d))

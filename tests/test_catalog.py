@@ -61,6 +61,15 @@ def test_every_index_has_an_owner(spark):
     assert got == {i: max(0, -(-(i - 4) // 3)) for i in wanted}
 
 
+def test_every_column_and_every_half_is_there(spark):
+    folder = "/root/testdata/sf0.01"  # 15,000 orders: 7500 halves, beyond the 1000 of redistribute
+    columns = {r["j"] for r in catalog.QUERIES["sparse_columns_all"](spark, folder).collect()}
+    assert columns == {r[0] for r in spark.read.parquet(f"{folder}/lineitem.parquet").select("l_partkey").distinct().collect()}
+    halves = sorted(r["i"] for r in catalog.QUERIES["redistribute_all"](spark, folder).collect())
+    keys = [r["i"] for r in catalog.orders(spark, folder).select("i").collect()]
+    assert len(halves) > 1000 and halves == sorted(i // 2 for i in keys if i % 2 == 0)
+
+
 def test_owner_of_overlapping_blocks(spark):
     from arrayloom.operators.distribution import owner
 
