@@ -60,6 +60,16 @@ def coarsen(x: DataFrame) -> DataFrame:
     return x.groupBy(floor_div(F.col("i"), 2).alias("i")).agg(F.sum("v").alias("v"))
 
 
+def halve(x: DataFrame) -> list[DataFrame]:
+    """The levels of a sum by pairs of neighbours: the array, then halves until one row is left."""
+    last = x.agg(F.max("i")).first()[0] or 0
+    levels = [x]
+    while last > 0:
+        levels.append(coarsen(levels[-1]))
+        last //= 2
+    return levels
+
+
 def prolong(x: DataFrame) -> DataFrame:
     """out[i] = in[i div 2]."""
     return x.select(F.explode(F.array(2 * F.col("i"), 2 * F.col("i") + 1)).alias("i"), "v")

@@ -55,6 +55,16 @@ def owner(array: DataFrame, table: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return rows.select(*array.columns, F.least("_whole", "_part").alias("p")).where("p IS NOT NULL")
 
 
+def union(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows (p, i) of the indices that a process has in either of two distributions."""
+    return a.select("p", "i").union(b.select("p", "i")).distinct()
+
+
+def extend(owners: DataFrame, p: int, more: DataFrame) -> DataFrame:
+    """Rows (p, i) with the indices of ``more`` added to the block of one process."""
+    return union(owners, more.select(F.lit(p).cast("long").alias("p"), "i"))
+
+
 def infer_type(owners: DataFrame) -> DataFrame:
     """One row, kind: contiguous, blocked or general, from rows (p, i)."""
     parts = owners.groupBy("p").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count(F.lit(1)).alias("n"))

@@ -268,7 +268,7 @@ def blocks_from_sizes(spark, d):
     return distribution.from_sizes(sizes)
 
 
-@query("63,64,77,78,80", "SELECT i, min(p) AS p FROM c, range(400) AS r(p) WHERE i >= 3 * p AND i < 3 * p + 5 GROUP BY i", "c")
+@query("63,64,80", "SELECT i, min(p) AS p FROM c, range(400) AS r(p) WHERE i >= 3 * p AND i < 3 * p + 5 GROUP BY i", "c")
 def blocks_first_owner(spark, d):
     table = spark.range(400).select(F.col("id").alias("p"), (3 * F.col("id")).alias("first"), F.lit(5).cast("long").alias("size"))
     return distribution.owner(customers(spark, d).select("i"), table)
@@ -281,6 +281,14 @@ def blocks_first_owner_all(spark, d):
     return distribution.owner(c, distribution.overlapping(c, 3, 5))
 
 
+@query("77,78", f"SELECT {BLOCK} AS p, i FROM o, n UNION SELECT i % {P} AS p, i FROM o UNION SELECT 0 AS p, i FROM t", "o", "n", "t")
+def blocks_union_extend(spark, d):
+    """Blocks and cycles of one array united by process, block 0 extended by a set."""
+    o = orders(spark, d).select("i")
+    both = distribution.union(o.withColumn("p", ix.block(I(), o.count(), P)), o.withColumn("p", ix.cyclic(I(), P)))
+    return distribution.extend(both, 0, thirds(spark, d))
+
+
 @query("65", "SELECT CASE WHEN v < 0 THEN 0 WHEN v >= 10000 THEN 11 ELSE floor(v / 1000)::BIGINT + 1 END::BIGINT AS bin, count(*) AS size FROM c GROUP BY 1", "c")
 def blocks_by_value(spark, d):
     return customers(spark, d).groupBy(F.width_bucket("v", F.lit(0.0), F.lit(10000.0), F.lit(10)).alias("bin")).agg(F.count(F.lit(1)).alias("size"))
@@ -382,12 +390,17 @@ def linear_fill_3d(spark, d):
     return src.linear_fill(spark, [4, 5, 6])
 
 
-@query("95,97,208", "SELECT i, round(1 + sqrt(n) * exp(0 - pow((i - 100) / 10.0, 2)), 6) AS v FROM o, n", "o", "n")
+@query("97,208", "SELECT i, round(1 + sqrt(n) * exp(0 - pow((i - 100) / 10.0, 2)), 6) AS v FROM o, n", "o", "n")
 def moving_weights(spark, d):
     o = orders(spark, d)
     return o.select("i", F.round(src.moving_weight(I(), o.count(), 100.0), 6).alias("v"))
 
 
+@query("95", "")
+def random_coordinates(spark, d):
+    return src.random_coordinates(spark, orders(spark, d).count())
+
+
 @query("96,208", "SELECT k, k / 5.0::DOUBLE AS c0, k / 5.0::DOUBLE AS c1 FROM range(5) AS r(k)")
 def initial_centres(spark, d):
     return src.initial_centres(spark, 5)
@@ -464,7 +477,7 @@ def reduction_strategies(spark, d):
     n = max(2, o.count())
     two = lambda c: F.round("total", 2).alias(c)
     flat = o.agg(F.sum("v").alias("total")).select(two("flat"))
-    grouped, halved = ar.tree_sum(o, max(2, int(n**0.5)), 1).select(two("grouped")), ar.tree_sum(o, 8, 4).select(two("halved"))
+    grouped, halved = ar.tree_sum(o, max(2, int(n**0.5)), 1).select(two("grouped")), ar.halve(o)[-1].agg(F.sum("v").alias("total")).select(two("halved"))
     return flat.crossJoin(grouped).crossJoin(halved)
 
 

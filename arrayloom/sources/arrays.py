@@ -44,6 +44,12 @@ def moving_weight(i: Column, n: int, centre: float) -> Column:
     return 1 + math.sqrt(n) * F.exp(-F.pow((i - centre) / 10, 2))
 
 
+def random_coordinates(spark: SparkSession, n: int, d: int = 2, seed: int = 0) -> DataFrame:
+    """``n`` points, each coordinate even in [0, 1): a hash of seed, point and axis, however rows are dealt."""
+    at = lambda k: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id"), F.lit(k)), 11) / F.lit(float(1 << 53))
+    return spark.range(n).select(F.col("id").alias("i"), *[at(k).alias(f"c{k}") for k in range(d)])
+
+
 def initial_centres(spark: SparkSession, k: int, d: int = 2) -> DataFrame:
     """Cluster centres on the diagonal."""
     return spark.range(k).select(F.col("id").alias("k"), *[(F.col("id") / F.lit(k)).alias(f"c{x}") for x in range(d)])

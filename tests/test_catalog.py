@@ -80,6 +80,42 @@ def test_owner_of_overlapping_blocks(spark):
     assert got == {i: min(ps) for i, ps in held.items() if ps}
 
 
+def test_union_and_extension_by_process(spark):
+    from arrayloom.operators.distribution import extend, union
+
+    a, b = (spark.createDataFrame(r, "p long, i long") for r in ([(0, 1), (1, 2)], [(0, 1), (0, 2)]))
+    got = extend(union(a, b), 1, spark.range(2, 4).withColumnRenamed("id", "i"))
+    assert sorted(map(tuple, got.collect())) == [(0, 1), (0, 2), (1, 2), (1, 3)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 37])
+def test_halves_until_one(spark, n):
+    from arrayloom.operators.arrays import halve
+
+    levels = halve(spark.range(n).selectExpr("id AS i", "cast(id AS double) AS v"))
+    assert len(levels) == (n - 1).bit_length() + 1
+    assert [tuple(r) for r in levels[-1].collect()] == [(0, n * (n - 1) / 2)]
+
+
+def test_reduction_query_halves_until_one(spark, monkeypatch):
+    called = []
+    coarsen = catalog.ar.coarsen
+    monkeypatch.setattr(catalog.ar, "coarsen", lambda x: called.append(1) or coarsen(x))
+    last = catalog.orders(spark, SMALL).agg({"i": "max"}).first()[0]
+    catalog.QUERIES["reduction_strategies"](spark, SMALL)
+    assert len(called) == last.bit_length()
+
+
+def test_random_coordinates(spark):
+    from arrayloom.sources.arrays import random_coordinates
+
+    one = sorted(map(tuple, random_coordinates(spark, 1000).collect()))
+    assert one == sorted(map(tuple, random_coordinates(spark, 1000).repartition(3).collect()))
+    for k in (1, 2):
+        c = [r[k] for r in one]
+        assert len(set(c)) == 1000 and 0 <= min(c) and max(c) < 1 and abs(sum(c) / 1000 - 0.5) < 0.05
+
+
 def test_stream(spark, tmp_path):
     from arrayloom.streaming.blocks import running_norms
 
