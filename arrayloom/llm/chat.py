@@ -131,11 +131,12 @@ def turns_of(df: DataFrame, columns: list[str], mappings: list[Mapping] = MAPPIN
     """
     kinds = T.StructType([df.schema[c] for c in columns])
     key = shape(schema_paths(kinds))
-    for mapping in mappings:
-        for paths in mapping.variants():
-            if shape(paths) == key:
-                turns = _array(mapping, F.col(mapping.array)) if mapping.array else _fixed(mapping, lambda p, own=paths: F.col(p).cast("string") if p in own else None)
-                return df.withColumn("layout", F.lit(mapping.name)).withColumn("turns", turns)
+    known = [(mapping, paths) for mapping in mappings for paths in mapping.variants()]
+    hashes = df.sparkSession.range(1).select(*[fingerprint(F.lit(x)).alias(f"h{k}") for k, x in enumerate([key, *[shape(paths) for _, paths in known]])]).first()
+    for (mapping, own), here in zip(known, hashes[1:], strict=True):
+        if here == hashes[0]:
+            turns = _array(mapping, F.col(mapping.array)) if mapping.array else _fixed(mapping, lambda p, own=own: F.col(p).cast("string") if p in own else None)
+            return df.withColumn("layout", F.lit(mapping.name)).withColumn("turns", turns)
     raise ValueError(f"no mapping for {key}")
 
 

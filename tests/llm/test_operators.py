@@ -189,6 +189,18 @@ def test_chat_layouts(spark):
     assert turns == [[("user", "p"), ("assistant", "c")], [("user", "i\nn"), ("assistant", "o")], [("user", "u")], [("user", "v"), ("assistant", "")], None, None, None, [("system", "s"), ("user", "q"), ("assistant", "a")]]
 
 
+def test_chat_columns_select_by_hash(spark, monkeypatch):
+    hashed = []
+    fingerprint = chat.fingerprint
+    monkeypatch.setattr(chat, "fingerprint", lambda c: hashed.append(1) or fingerprint(c))
+    row = spark.createDataFrame([("p", "c")], "prompt string, completion string")
+    got = chat.turns_of(row, ["prompt", "completion"]).first()
+    assert got["layout"] == "prompt" and [tuple(t) for t in got["turns"]] == [("user", "p"), ("assistant", "c")]
+    assert len(hashed) == 1 + sum(len(m.variants()) for m in chat.MAPPINGS)
+    with pytest.raises(ValueError):
+        chat.turns_of(row, ["prompt"])
+
+
 def test_language(spark, docs):
     table = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = language.train(table)
