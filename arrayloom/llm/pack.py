@@ -9,7 +9,6 @@ from arrayloom.llm._common import ranked
 
 BUCKETS = 16
 BUDGET = 65_536
-MOST_LENGTHS = 1_000_000
 
 
 def optimal_bounds(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
@@ -74,20 +73,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def bounds_of(lengths: DataFrame, length: str, buckets: int, most_lengths: int = MOST_LENGTHS) -> list[int]:
+def bounds_of(lengths: DataFrame, length: str, buckets: int) -> list[int]:
     """The optimal bounds for the global histogram of a column of lengths.
 
-    The histogram has a row per distinct length.  Beyond ``most_lengths`` of them,
-    lengths are merged upwards to so many candidate bounds at quantiles, with exact
-    counts and token sums: then the bounds are the best among these candidates.
+    The histogram has a row per distinct length and is collected whole, so the bounds
+    are optimal however many lengths there are.
     """
     histogram = lengths.groupBy(F.col(length).alias("l")).agg(F.count(F.lit(1)).alias("n"))
-    distinct = histogram.count()
-    if distinct > most_lengths:
-        step = -(-distinct // most_lengths)
-        top = histogram.agg(F.max("l")).first()[0]
-        width = -(-int(top) * step // distinct)
-        histogram = histogram.groupBy((F.ceil(F.col("l") / width) * width).alias("l")).agg(F.sum("n").alias("n"))
     rows = sorted((int(r["l"]), int(r["n"])) for r in histogram.collect())
     return optimal_bounds([x for x, _ in rows], [n for _, n in rows], buckets)
 

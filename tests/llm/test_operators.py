@@ -171,6 +171,12 @@ def test_packing(spark, docs):
     assert pack.pack(empty(spark)).count() == 0
 
 
+def test_bounds_are_optimal_beyond_a_million_lengths(spark):
+    top = 1_000_499  # with one long outlier, the best two bounds are these two lengths
+    lengths = spark.range(top + 1).union(spark.range(10**9, 10**9 + 1))
+    assert pack.bounds_of(lengths, "id", 2) == [top, 10**9]
+
+
 def test_chat(spark):
     texts = ["a\\b<|end|>\n", "</s>[INST] ok [/INST]", "<|<|start|>\\<\\|", "", None, "é\\\\<<SYS>>"]
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(texts)] + [(None, None, None, "x")]
