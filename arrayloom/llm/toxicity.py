@@ -7,10 +7,11 @@ ending, stay similar.  Landmark tokens give the Nyström map in which the machin
 trained; since its decision is a sum over landmarks, it folds back into one weight
 per subsequence, and scoring a token is a sum of looked-up weights.
 
-Sentences carry their document's label.  Those of clean documents are all clean; of
-a toxic document at least one is toxic, and which one, and by which tokens, is found
-in turns with training.  A sentence scores as its strongest token, a document as its
-strongest sentence.
+The unit is the token; no sentences are formed.  Tokens carry their document's label.
+Those of clean documents are all clean; of a toxic document at least one is toxic, and
+which ones is found in turns with training.  A document scores as its strongest token.
+So the kernel spans no word boundary, but in runs of single symbols, and an insult of
+several words, each harmless alone, can be neither learned nor found.
 """
 
 from __future__ import annotations
