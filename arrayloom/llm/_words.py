@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+#: Small enough that all arrays over a chunk take a few MB, in every worker.
+CHUNK_BYTES = 256 << 10
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -25,7 +26,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = False
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """The powers 0 to n of the base, or of its inverse, modulo 2**64."""
+    """The powers 0 to n of the base, or of its inverse, modulo 2**64; kept if short."""
     base = _INVERSE if inverse else _BASE
     have = _POWERS.get(base)
     if have is None or len(have) <= n:
@@ -33,7 +34,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if size <= 4 * CHUNK_BYTES:
+        if size <= 2 * CHUNK_BYTES:
             _POWERS[base] = have
     return have
 

@@ -1,8 +1,9 @@
 """Chat formatting: field paths are hashed, the hash selects a declarative mapping.
 
-Only DataFrame functions are used.  Typed columns are fingerprinted by their schema,
-JSON texts row by row by the schema of the parsed value; both give the same hash for
-the same nested field paths, whatever the order of the fields.
+Only DataFrame functions are used.  A table of typed columns may hold rows of several
+layouts: each row is fingerprinted by the nested field paths of the columns that are
+not null in it.  JSON texts are fingerprinted by the schema of the parsed value.  Both
+give the same hash for the same paths, whatever the order of the fields.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arrayloom.llm._common import fresh
+
 OPEN, MIDDLE, CLOSE = "<|start|>", "<|text|>", "<|end|>\n"
 # Strings that chat templates use to steer a model.
 CONTROL = ["<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
@@ -124,20 +127,32 @@ def _array(mapping: Mapping, rows: Column) -> Column:
     return F.coalesce(F.transform(rows, one), F.array().cast(TURNS))
 
 
+def row_shape(schema: T.StructType, columns: list[str]) -> Column:
+    """The shape of the columns that are not null in a row, as of :func:`shape`."""
+    fields = [(c, shape(schema_paths(schema[c].dataType, c)).removeprefix("OBJECT<").removesuffix(">")) for c in sorted(columns)]
+    there = F.filter(F.array(*[F.when(F.col(f"`{c}`").isNotNull(), F.lit(own)) for c, own in fields]), lambda x: x.isNotNull())
+    return F.concat(F.lit("OBJECT<"), F.array_join(there, ", "), F.lit(">"))
+
+
 def turns_of(df: DataFrame, columns: list[str], mappings: list[Mapping] = MAPPINGS) -> DataFrame:
-    """Add layout and turns, from typed columns whose paths select the mapping.
+    """Add layout and turns to each row, by the mapping of the row's own fingerprint.
 
-    Raises ValueError if no mapping has the fingerprint of these columns.
+    The fingerprint hashes the nested field paths of those of ``columns`` that are not
+    null.  Rows whose paths no mapping has, such as rows of nulls alone, get a null
+    layout and null turns.  Columns named layout and turns are replaced, others kept;
+    repeated rows give equal turns; an empty table gives none.
     """
-    kinds = T.StructType([df.schema[c] for c in columns])
-    key = shape(schema_paths(kinds))
-    known = [(mapping, paths) for mapping in mappings for paths in mapping.variants()]
-    hashes = df.sparkSession.range(1).select(*[fingerprint(F.lit(x)).alias(f"h{k}") for k, x in enumerate([key, *[shape(paths) for _, paths in known]])]).first()
-    for (mapping, own), here in zip(known, hashes[1:], strict=True):
-        if here == hashes[0]:
-            turns = _array(mapping, F.col(mapping.array)) if mapping.array else _fixed(mapping, lambda p, own=own: F.col(p).cast("string") if p in own else None)
-            return df.withColumn("layout", F.lit(mapping.name)).withColumn("turns", turns)
-    raise ValueError(f"no mapping for {key}")
+    key, *_ = fresh(df.columns, "shape")
+    columns = [c for c in columns if c in df.columns]
+    df = df.withColumn(key, fingerprint(row_shape(df.schema, columns)))
+    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for mapping in mappings:
+        for paths in mapping.variants():
+            if {p.partition("[]")[0] for p in paths} <= set(columns):
+                own = _array(mapping, F.col(mapping.array)) if mapping.array else _fixed(mapping, lambda p, own=paths: F.col(p).cast("string") if p in own else None)
+                here = F.col(key) == fingerprint(F.lit(shape(paths)))
+                layout, turns = F.when(here, F.lit(mapping.name)).otherwise(layout), F.when(here, own).otherwise(turns)
+    return df.withColumns({"layout": layout, "turns": turns}).drop(key)
 
 
 def turns_of_json(df: DataFrame, record: str = "record", mappings: list[Mapping] = MAPPINGS) -> DataFrame:
@@ -145,21 +160,21 @@ def turns_of_json(df: DataFrame, record: str = "record", mappings: list[Mapping]
 
     Texts that are null, no JSON or of an unknown shape have a null layout and null
     turns; null fields count as absent fields of fixed layouts and as empty texts in
-    arrays of turns.
+    arrays of turns.  Columns named layout and turns are replaced.
     """
-    value = F.try_parse_json(record)
-    df = df.withColumn("_shape", fingerprint(json_shape(F.col(record))))
+    value, key = F.try_parse_json(record), fresh(df.columns, "shape")[0]
+    df = df.withColumn(key, fingerprint(json_shape(F.col(record))))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for mapping in mappings:
         for paths in mapping.variants():
-            here = F.col("_shape") == fingerprint(F.lit(shape(paths)))
+            here = F.col(key) == fingerprint(F.lit(shape(paths)))
             if mapping.array:
                 rows = F.try_variant_get(value, f"$.{mapping.array}", f"array<struct<`{mapping.role}`:string,`{mapping.text}`:string>>")
                 own = _array(mapping, rows)
             else:
                 own = _fixed(mapping, lambda p, own=paths: F.try_variant_get(value, f"$.{p}", "string") if p in own else None)
             layout, turns = F.when(here, F.lit(mapping.name)).otherwise(layout), F.when(here, own).otherwise(turns)
-    return df.withColumn("layout", layout).withColumn("turns", turns).drop("_shape")
+    return df.withColumns({"layout": layout, "turns": turns}).drop(key)
 
 
 def escape(text: Column) -> Column:
@@ -180,7 +195,8 @@ def render(df: DataFrame, turns: str = "turns", trained: str = "assistant") -> D
 
     Each turn is an opening mark, the escaped role, a middle mark, the escaped text
     and a closing mark; ``loss`` marks the texts of the ``trained`` role alone.  No
-    turns, or null turns, give an empty text and no pieces.
+    turns, or null turns, give an empty text and no pieces; a conversation is one text,
+    however long.  Columns named formatted and pieces are replaced, others kept.
     """
     piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     parts = F.flatten(
@@ -218,8 +234,9 @@ def conversations_as_messages(rows: DataFrame) -> DataFrame:
     """One row per conv_id with messages, an array of (role, content) by turn.
 
     Ties of a turn are ordered by role, then text; null turns come first; null roles
-    and texts are empty; rows of a null conv_id form one conversation.
+    and texts are empty; rows of a null conv_id form one conversation, repeated rows
+    are turns of their own, and an empty table gives none.  Other columns are not read.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    groups = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("m"))
+    groups = rows.select("conv_id", "turn", "role", "text").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("m"))
     return groups.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))

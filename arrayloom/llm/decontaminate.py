@@ -1,14 +1,14 @@
 """Benchmark decontamination with one Aho-Corasick automaton over words.
 
 The benchmark's texts are normalised to words; every window of ten consecutive
-words (or a whole shorter text) is a pattern of one automaton, which each executor
-builds from the broadcast patterns.  A document is normalised byte for byte, so
-that offsets in it are offsets in the original, and is scanned once.
+words (or a whole shorter text) is a pattern of one automaton, which each worker
+builds from the broadcast texts.  A document is normalised byte for byte, so that
+offsets in it are offsets in the original, and is scanned once.
 """
 
 from __future__ import annotations
 
-import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arrayloom.llm._common import arrow_map, schema_of, spread
 from arrayloom.llm._words import chunks
 
 WINDOW = 10
-#: A benchmark beyond this many bytes is scanned for in so many more automata,
-#: one after the other, so that what is broadcast stays bounded.
-MOST_BYTES = 8 << 20
+#: The largest benchmark, in bytes of its texts, that is broadcast.  A worker's automaton
+#: takes some 450 bytes a word, as measured, so about 1.2 GB for this many.
+MOST_BYTES = 16 << 20
 
 # Normalisation, byte for byte: A-Z become a-z; 0-9, a-z and all bytes of
 # characters from U+0080 stay; all else becomes a space.
@@ -38,30 +39,34 @@ def normal_words(text: str | bytes | None) -> list[bytes]:
     return (text.encode() if isinstance(text, str) else text).translate(_NORMAL).split()
 
 
-def patterns(items: list[tuple[str, str | None]], window: int = WINDOW) -> dict[tuple[bytes, ...], tuple[str, ...]]:
-    """Each window of the items' words, with the ids of the items that hold it."""
-    found: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in items:
-        words = normal_words(text)
-        if words:
-            for i in range(max(1, len(words) - window + 1)):
-                found.setdefault(tuple(words[i : i + window]), set()).add(item)
-    return {k: tuple(sorted(v)) for k, v in found.items()}
-
-
 class Scanner:
-    """The automaton over numbered words; ``scan`` gives the hits in one text."""
+    """The automaton over numbered words; ``scan`` gives the hits in one text.
+
+    A pattern's value is its number; lengths and the items of patterns are in arrays,
+    those of the many patterns of one item alone as a number only.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
         import ahocorasick
 
         self.numbers: dict[bytes, int] = {}
-        self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        found = patterns(items, window)
-        for words, owners in found.items():
-            self.tree.add_word(tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words), (len(words), owners))
-        self.empty = not found
-        if found:
+        self.items = [item for item, _ in items]
+        self.length, self.owner = array("i"), array("i")
+        self.others: dict[int, set[int]] = {}
+        self.tree = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for k, (_, text) in enumerate(items):
+            words = tuple([self.numbers.setdefault(w, len(self.numbers) + 1) for w in normal_words(text)])
+            for i in range(max(1, len(words) - window + 1) if words else 0):
+                pattern = words[i : i + window]
+                at = self.tree.get(pattern, -1)
+                if at < 0:
+                    self.tree.add_word(pattern, len(self.length))
+                    self.length.append(len(pattern))
+                    self.owner.append(k)
+                elif self.owner[at] != k:
+                    self.others.setdefault(at, set()).add(k)
+        self.empty = not len(self.length)
+        if not self.empty:
             self.tree.make_automaton()
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -71,18 +76,20 @@ class Scanner:
         number = self.numbers.get
         text = tuple([number(w, 0) for w in words])
         ranges: list[tuple[int, int]] = []
-        owners: set[str] = set()
-        for last, (length, who) in self.tree.iter(text):
-            first = last - length + 1
+        owners: set[int] = set()
+        for last, at in self.tree.iter(text):
+            first = last - self.length[at] + 1
             while ranges and ranges[-1][1] >= first:  # also when a longer pattern ends at the same word
                 first = min(first, ranges.pop()[0])
             ranges.append((first, last + 1))
-            owners.update(who)
-        return ranges, owners
+            owners.add(self.owner[at])
+            if at in self.others:
+                owners |= self.others[at]
+        return ranges, {self.items[k] for k in owners}
 
 
-@lru_cache(maxsize=2)
-def _scanner(items: tuple[tuple[str, str | None], ...], window: int) -> Scanner:
+@lru_cache(maxsize=1)
+def _scanner(items: tuple[tuple[str, str], ...], window: int) -> Scanner:
     return Scanner(list(items), window)
 
 
@@ -95,99 +102,45 @@ def _spans(data: bytes, ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"first": int(chars[starts[a]]), "end": int(chars[ends[b - 1]])} for a, b in ranges]
 
 
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Add to ``docs`` the columns n_words, n_hit, item_ids and spans.
 
     spans: (first, end) character offsets in the original of each run of hit
-    words.  Null and empty texts have no words, so no hits; repeated rows are
-    scanned each for itself; items with a null id or no words take no part; an
-    empty benchmark hits nothing.  Columns of ``docs`` that bear one of the added
-    names are replaced, all others are kept.
+    words.  Null and empty texts have no words, so no hits; long texts are scanned
+    whole; repeated rows are scanned each for itself; items with a null id or no words
+    take no part, several texts of one id are one item; an empty benchmark hits
+    nothing and an empty table gives none.  Columns of ``docs`` that bear one of the
+    added names are replaced, all others are kept.  There is one automaton and one scan
+    whatever the size of the benchmark; beyond ``most_bytes`` bytes of texts, which the
+    workers' memory must hold some 80 times, ValueError is raised.
     """
     own = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("t")).where("id is not null and t is not null").distinct()
-    size = own.agg(F.coalesce(F.sum(F.octet_length("t") + F.octet_length("id")), F.lit(0))).first()[0]
-    parts = max(1, -(-int(size) // most_bytes))
-    new = {"n_words": "long", "n_hit": "long", "item_ids": "array<string>", "spans": "array<struct<first:long,end:long>>"}
-    docs = docs.drop(*new)
-    out = None
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema += ", " + ", ".join(f"{k} {v}" for k, v in new.items())
+    size = int(own.agg(F.coalesce(F.sum(F.octet_length("t") + F.octet_length("id")), F.lit(0))).first()[0])
+    if size > most_bytes:
+        raise ValueError(f"the benchmark has {size} bytes, more than most_bytes = {most_bytes}, which bounds the automaton in each worker")
+    new = ["n_words", "n_hit", "item_ids", "spans"]
+    docs = spread(docs.drop(*new))
+    schema = schema_of(docs, "n_words long", "n_hit long", "item_ids array<string>", "spans array<struct<first:long,end:long>>")
     at = docs.columns.index(text)
-    sets = [[(r["id"], r["t"]) for r in own.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).orderBy("id", "t").collect()] for k in range(parts)] if parts == 1 else None
-    if parts == 1:
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(sets[0])])
-    else:  # each part is written apart, so that the driver holds one at a time
-        shared = None
-    if shared is not None:
-        out = docs.mapInArrow(_mapper(shared, at, window), schema)
-        return out
-    return _by_parts(docs, own, parts, text, window, schema, at)
-
-
-def _mapper(shared, at: int, window: int):
+    shared = docs.sparkSession.sparkContext.broadcast(tuple((r["id"], r["t"]) for r in own.orderBy("id", "t").collect()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanners = [_scanner(items, window) for items in shared.value]
+        scanner = _scanner(shared.value, window)
         for batch in batches:
             counts, hits, ids, spans = [], [], [], []
             for _, _, data, offsets in chunks(batch.column(at)):
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                     raw = data[a:b].tobytes()
                     words = raw.translate(_NORMAL).split()
-                    ranges, owners = scanners[0].scan(words)
+                    ranges, owners = scanner.scan(words)
                     counts.append(len(words))
                     hits.append(sum(e - s for s, e in ranges))
                     ids.append(sorted(owners))
                     spans.append(_spans(raw, ranges) if ranges else [])
-            new = [
-                pa.array(counts, pa.int64()),
-                pa.array(hits, pa.int64()),
-                pa.array(ids, pa.list_(pa.string())),
-                pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "n_words", "n_hit", "item_ids", "spans"])
-
-    return run
-
-
-def _by_parts(docs: DataFrame, own: DataFrame, parts: int, text: str, window: int, schema: str, at: int) -> DataFrame:
-    """A benchmark too large for one broadcast: one automaton a part, results merged by row."""
-    spark = docs.sparkSession
-    out = docs
-    for k in range(parts):
-        items = tuple((r["id"], r["t"]) for r in own.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k).orderBy("id", "t").collect())
-        shared = spark.sparkContext.broadcast([items])
-        if k == 0:
-            out = out.mapInArrow(_mapper(shared, at, window), schema)
-            continue
-        renamed = out.select(*docs.columns, *[F.col(c).alias(f"_{c}") for c in ("n_words", "n_hit", "item_ids", "spans")])
-        added = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in renamed.schema.fields) + ", n_words long, n_hit long, item_ids array<string>, spans array<struct<first:long,end:long>>"
-        more = renamed.mapInArrow(_mapper(shared, at, window), added)
-        out = more.mapInArrow(_merge(len(docs.columns), text, at), schema)
-    return out
-
-
-def _merge(width: int, text: str, at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.select(range(width, batch.num_columns)).to_pylist()
-            texts = batch.column(at).to_pylist()
-            hits, ids, spans = [], [], []
-            for row, value in zip(rows, texts, strict=True):
-                merged: list[dict[str, int]] = []
-                for span in sorted([*row["_spans"], *row["spans"]], key=lambda s: (s["first"], s["end"])):
-                    if merged and span["first"] <= merged[-1]["end"]:
-                        merged[-1]["end"] = max(merged[-1]["end"], span["end"])
-                    else:
-                        merged.append(dict(span))
-                hits.append(sum(len(normal_words(value[s["first"] : s["end"]])) for s in merged))
-                ids.append(sorted({*row["_item_ids"], *row["item_ids"]}))
-                spans.append(merged)
-            new = [batch.column(width), pa.array(hits, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[*batch.schema.names[:width], "n_words", "n_hit", "item_ids", "spans"])
-
-    return run
-
-
-def digest(ids: list[str]) -> str:
-    """The lowercase hex SHA-256 of the sorted, comma-joined ids."""
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+            added = [pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(spans, SPANS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *new])
+
+    return arrow_map(docs, run, schema)

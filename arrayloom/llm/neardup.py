@@ -1,7 +1,8 @@
 """Near duplicates by DartMinHash over weighted word shingles.
 
-A text is a weighted set: its shingles of five words, each with its count.  Over
-every unit of weight of every element lies the same random process of darts along
+A text is a weighted set: its shingles of five words, each with its count.  Words are
+normalised: runs of digits, letters and characters beyond ASCII, A to Z as a to z, so
+case, punctuation and white space make no difference.  Over every unit of weight of every element lies the same random process of darts along
 the axis of ranks, drawn from hashes, so equal regions hold equal darts.  A text
 throws only the darts below the rank at which about k*ln(k) + 3k of them fall into
 its regions, whatever its length; a hash deals each dart to one of k coordinates,
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arrayloom.llm._common import BROADCAST_ROWS, bounded, cut
+from arrayloom.llm._common import arrow_map, bounded, cut, fresh, hot_join, hot_keys, lookup, salted_join, spread
 from arrayloom.llm._words import chunks, hashes, mix, split, sums, window
 
 SHINGLE = 5
@@ -32,11 +33,19 @@ MOST_BITS = 32
 #: Long sketches of so many bits, for texts of buckets that hold several classes; a pair of
 #: similarity 0.8 differs in 204.8 +- 13.6 of them.
 LONG_BITS, MOST_LONG_BITS = 2048, 264
-#: Regions that are thrown at in one call.
-REGIONS = 400_000
+#: Regions that are thrown at in one call; all arrays of a call take some 20 MB.
+REGIONS = 150_000
 #: Rows of a bucket that are compared with each other in one task.
 BLOCK = 2000
+#: Texts whose long sketches one task makes.
+SKETCH_ROWS = 500
 _FIRST = -(1 << 63)
+# Normalisation, byte for byte: A-Z become a-z, and what is no digit, letter or byte of a
+# character beyond ASCII is no part of a word.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+_WORD = np.zeros(256, dtype=bool)
+_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 def shingles(words: np.ndarray, texts: np.ndarray, length: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -115,9 +124,9 @@ def _throw(text: np.ndarray, element: np.ndarray, weight: np.ndarray, reach: np.
 
 
 def _sets(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    for i, j, data, offsets in chunks(column, 1 << 20):
-        starts, ends, texts = split(data, offsets)
-        text, element = shingles(hashes(data, starts, ends), texts, length)
+    for i, j, data, offsets in chunks(column):
+        starts, ends, texts = split(data, offsets, _WORD)
+        text, element = shingles(hashes(_LOWER[data], starts, ends), texts, length)
         order = np.lexsort((element, text))
         text, element = text[order], element[order]
         new = np.ones(len(text), dtype=bool)
@@ -145,7 +154,7 @@ def sketch(docs: DataFrame, key: str, text: str, length: int, bands: int, rows:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), *(pa.array(np.ascontiguousarray(h)) for h in halves), lists], names=["id", "h1", "h2", "b0", "b1", "bands"])
 
     source = docs.where(F.col(text).isNotNull()).select(_id(key).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(17), F.col(text)).alias("h2"), F.col(text).alias("text"))
-    return source.mapInArrow(run, "id long, h1 long, h2 long, b0 long, b1 long, bands array<long>")
+    return arrow_map(spread(source), run, "id long, h1 long, h2 long, b0 long, b1 long, bands array<long>")
 
 
 def _packed(marks: np.ndarray) -> np.ndarray:
@@ -155,29 +164,44 @@ def _packed(marks: np.ndarray) -> np.ndarray:
 
 
 def long_sketch(texts: DataFrame, length: int, bits: int = LONG_BITS) -> DataFrame:
-    """(id, far): the bits of ``bits`` coordinates of each text of (id, text), packed."""
+    """(id, h1, far): the bits of ``bits`` coordinates of each text of (id, h1, text), packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, owner, element, weight in _sets(batch.column(1), length):
+            for i, j, owner, element, weight in _sets(batch.column(2), length):
                 packed = _packed(signatures(owner, element, weight.astype(np.float64), j - i, bits))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, packed.size + 1, bits // 64, dtype=np.int32)), pa.array(packed.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["id", "far"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(2)), lists], names=["id", "h1", "far"])
 
-    return texts.mapInArrow(run, "id long, far array<long>")
+    return arrow_map(texts, run, "id long, h1 long, far array<long>")
 
 
 def _id(key: str):
     return F.coalesce(F.col(key).cast("long"), F.lit(_FIRST))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, length: int, least: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts' weighted Jaccard similarity is at least ``least``."""
-    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    texts = docs.where(F.col(text).isNotNull()).select(_id(key).alias("id"), F.col(text).alias("text"))
-    texts = texts.join(bounded(wanted), "id", "left_semi")
-    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    rows = bounded(pairs, BROADCAST_ROWS // 20).join(left, "a").join(right, "b").select("a", "b", "x", "y")
+def _texts(docs: DataFrame, key: str, text: str, wanted: DataFrame, unique: bool) -> DataFrame:
+    """(id, h1, text), one row each, of the (id, h1) in ``wanted``; ``unique`` if no row is repeated."""
+    texts = docs.where(F.col(text).isNotNull()).select(_id(key).alias("id"), F.xxhash64(text).alias("h1"), F.col(text).alias("text"))
+    texts = texts.join(bounded(wanted), ["id", "h1"], "left_semi")
+    return texts if unique else texts.groupBy("id", "h1").agg(F.min("text").alias("text"))  # equal texts, whichever stays
+
+
+def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, length: int, least: float, unique: bool = False) -> DataFrame:
+    """The (a, b) of ``pairs`` whose texts' weighted Jaccard similarity is at least ``least``.
+
+    ``pairs`` is a table (a, ha, b, hb) of ids and text hashes, a pair once.  Texts that
+    many pairs share are copied, so no task gathers the pairs of a hub.
+    """
+    side = lambda x: pairs.select(F.col(x).alias("id"), F.col(f"h{x}").alias("h1"))
+    wanted = cut(side("a").union(side("b")).distinct())
+    texts = _texts(docs, key, text, wanted, unique)
+    rows = pairs
+    for x, body in (("b", "y"), ("a", "x")):
+        on = [x, f"h{x}"]
+        own = texts.select(F.col("id").alias(x), F.col("h1").alias(f"h{x}"), F.col("text").alias(body))
+        rows = salted_join(rows, own, on, hot_keys(pairs, on, "copies"), "copies")
+    rows = rows.select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +210,7 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, length: int
                 same = similarity(part.column(2), part.column(3), length)
                 yield part.select([0, 1]).filter(pa.array(same >= least))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return arrow_map(rows, run, "a long, b long")
 
 
 def similarity(x: pa.Array, y: pa.Array, length: int = SHINGLE) -> np.ndarray:
@@ -213,23 +237,27 @@ def components(edges: DataFrame) -> DataFrame:
     First each node b keeps the link to its least partner alone, and its other partners
     are linked with that one: they are hubs that many nodes share, so few links are
     left a node.  Then rounds of neighbours' minimum and of following one's label, each
-    cut; only the count of changes comes to the driver.
+    cut; only the count of changes comes to the driver.  Hubs and labels that are hot
+    are joined by broadcast.
     """
-    stars = edges.select("a", "b", F.min("a").over(Window.partitionBy("b")).alias("low"))
+    low = edges.groupBy("b").agg(F.min("a").alias("low"), F.count(F.lit(1)).alias("n"))
+    stars = hot_join(edges.select("a", "b"), cut(low), ["b"], "n")
     # Each row gives (low, b) and (low, a); that of the least partner gives (low, b) twice.
     ends = F.explode(F.array("b", F.when(F.col("a") != F.col("low"), F.col("a")).otherwise(F.col("b"))))
     edges = cut(stars.select(F.col("low").alias("a"), ends.alias("b")).distinct())
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    degrees = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label"), F.count(F.lit(1)).alias("n"))
+    labels = cut(degrees.select(F.col("a").alias("node"), "label", "n"))
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        new = cut(new)
-        jump = new.select(F.col("node").alias("at"), F.col("label").alias("next"))
-        new = cut(new.join(jump, F.col("label") == F.col("at")).select("node", "was", F.col("next").alias("label")))
-        labels = new.select("node", "label")
+        near = hot_join(both, labels.select(F.col("node").alias("b"), "label", "n"), ["b"], "n").groupBy("a").agg(F.min("label").alias("near"))
+        new = cut(labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"), "n"))
+        # A label is a node too: its own label is the next one of all that have it.
+        heads = new.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+        heads = heads.join(new.select(F.col("node").alias("label"), F.col("label").alias("next")), "label")
+        new = cut(hot_join(new, cut(heads), ["label"], "size").select("node", "was", F.col("next").alias("label"), "n"))
+        labels = new.select("node", "label", "n")
         if not new.where("was <> label").limit(1).count():
-            return labels
+            return labels.select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -237,58 +265,77 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     Classes are the connected components of links between texts of similarity
     ``least`` or more.  Equal texts are one class and take part once.  Null texts and
-    texts without words are classes by themselves.  Rows of one key are one document;
-    a null key counts as the least key, and its class_id is null.
+    texts without words are classes by themselves.  Rows of one key are one document,
+    whose class is that of all its texts; a null key counts as the least key, and its
+    class_id is null.  Repeated rows take part once; an empty table gives no rows; a
+    long text is one signature; no other column of ``docs`` is read.
 
     Candidates are rows that share a band.  Each is first compared with the least row
     of each of its buckets; after joining what links, only rows of one bucket in
     different classes are left.  Of these, the pairs whose long sketches allow the
     similarity (all but 7 in a million of those that have it) are compared exactly.
     So no bucket is capped, and a group of copies costs a link a row, not all pairs.
+    Texts, buckets, hubs and labels that are hot are joined by broadcast or copies.
     """
     marks = cut(sketch(docs, key, text, length, bands, rows))
-    copies = marks.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    members = cut(marks.select("id", "h1", "h2").join(copies, ["h1", "h2"]).groupBy("id").agg(F.min("rep").alias("rep")))
-    nodes = marks.join(copies.select("rep", F.col("h1").alias("_1"), F.col("h2").alias("_2")), (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2")) & (F.col("id") == F.col("rep")), "left_semi")
-    placed = nodes.select("id", "b0", "b1", F.posexplode("bands").alias("band", "hash"))
-
-    hubs = placed.groupBy("band", "hash").agg(F.min(F.struct("id", "b0", "b1")).alias("hub"), F.max("id").alias("last")).where("hub.id < last").drop("last")
-    shared = cut(placed.join(hubs, ["band", "hash"]))
+    copies = cut(marks.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    marks = cut(lookup(marks, copies, ["h1", "h2"], "n").withColumn("rep", F.coalesce("rep", "id")).drop("n"))
+    members = cut(marks.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")))
+    unique = not members.where("n > 1").limit(1).count()  # rows of one key cost an exchange of texts more
+    nodes = marks.where("id = rep") if unique else cut(marks.where("id = rep").dropDuplicates(["id", "h1"]))
+    placed = nodes.select("id", "h1", "b0", "b1", F.posexplode("bands").alias("band", "hash"))
+
+    of_least = [F.min_by(c, "id").alias(f"hub_{c}") for c in ("h1", "b0", "b1")]
+    hubs = placed.groupBy("band", "hash").agg(F.min("id").alias("hub"), *of_least, F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("hub < last").drop("last")
+    shared = cut(hot_join(placed, cut(hubs), ["band", "hash"], "n").drop("n"))
     alike = lambda p, q: (F.bit_count(p[0].bitwiseXOR(q[0])) + F.bit_count(p[1].bitwiseXOR(q[1]))) <= MOST_BITS
-    near = alike((F.col("b0"), F.col("b1")), (F.col("hub.b0"), F.col("hub.b1")))
-    tried = cut(shared.where((F.col("id") != F.col("hub.id")) & near).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct())
-    links = cut(verified(tried, docs, key, text, length, least))
+    near = alike((F.col("b0"), F.col("b1")), (F.col("hub_b0"), F.col("hub_b1")))
+    tried = shared.where((F.col("id") != F.col("hub")) & near).select(F.col("hub").alias("a"), F.col("hub_h1").alias("ha"), F.col("id").alias("b"), F.col("h1").alias("hb"))
+    tried = cut(tried.distinct())
+    links = verified(tried, docs, key, text, length, least, unique)
+    if not unique:  # the texts of one key are one document
+        several = marks.join(bounded(members.where("rep < last").select("id", F.col("rep").alias("a"))), "id")
+        links = links.union(several.where("rep <> a").select("a", F.col("rep").alias("b")))
+    links = cut(links)
     labels = components(links)
 
-    named = shared.select("band", "hash", "id", "b0", "b1").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = shared.select("band", "hash", "id", "h1", "b0", "b1").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = cut(named)
-    mixed = named.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("band", "hash", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    mixed = named.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("band", "hash", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     # What is left: pairs of different classes in one bucket, each in its first shared band.
-    open_ = cut(named.join(mixed, ["band", "hash"]))
-    texts = docs.where(F.col(text).isNotNull()).select(_id(key).alias("id"), F.col(text).alias("text"))
-    texts = texts.join(bounded(cut(open_.select("id").distinct())), "id", "left_semi").dropDuplicates(["id"])
-    wide = cut(long_sketch(texts, length).join(nodes.select("id", "bands").dropDuplicates(["id"]), "id"))
-    open_ = open_.join(wide, "id")
-    left = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    open_ = cut(hot_join(named, cut(mixed), ["band", "hash"], "n").drop("n"))
+    texts = _texts(docs, key, text, cut(open_.select("id", "h1").distinct()), unique)
+    texts = texts.repartition(max(1, -(-texts.select("id").count() // SKETCH_ROWS)))
+    wide = cut(long_sketch(texts, length).join(nodes.select("id", "h1", "bands"), ["id", "h1"]))
+    open_ = open_.join(wide, ["id", "h1"])
+    left = open_.withColumn("block", F.pmod(F.xxhash64("id", "h1"), F.col("blocks")))
     right = open_.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
     on = (F.col("l.band") == F.col("r.band")) & (F.col("l.hash") == F.col("r.hash")) & (F.col("l.block") == F.col("r.block"))
     on = on & (F.col("l.id") < F.col("r.id")) & (F.col("l.label") != F.col("r.label")) & alike((F.col("l.b0"), F.col("l.b1")), (F.col("r.b0"), F.col("r.b1")))
     apart = [F.bit_count(F.get("l.far", F.lit(k)).bitwiseXOR(F.get("r.far", F.lit(k)))) for k in range(LONG_BITS // 64)]
     sooner = [(F.col("l.band") > k) & (F.get("l.bands", F.lit(k)) == F.get("r.bands", F.lit(k))) for k in range(bands - 1)]
     on = on & (reduce(lambda a, b: a + b, apart) <= MOST_LONG_BITS) & ~reduce(lambda a, b: a | b, sooner)
-    rest = left.alias("l").join(right.alias("r"), on).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).join(tried, ["a", "b"], "left_anti")
-    more = cut(verified(cut(rest), docs, key, text, length, least))
+    rest = left.alias("l").join(right.alias("r"), on).select(F.col("l.id").alias("a"), F.col("l.h1").alias("ha"), F.col("r.id").alias("b"), F.col("r.h1").alias("hb"))
+    rest = cut(rest.join(tried, ["a", "ha", "b", "hb"], "left_anti"))
+    more = cut(verified(rest, docs, key, text, length, least, unique)) if rest.limit(1).count() else rest.select("a", "b")
     if more.limit(1).count():
-        labels = components(links.union(more))
+        labels = components(cut(links.union(more)))
 
-    rows_ = docs.select(F.col(key), _id(key).alias("_id")).join(members.select(F.col("id").alias("_id"), "rep"), "_id", "left")
-    rows_ = rows_.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    label = F.coalesce("label", "rep", "_id")
-    return rows_.select(key, F.when(label != _FIRST, label).alias("class_id"))
+    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
+    classes = cut(sizes.join(labels.withColumnRenamed("node", "rep"), "rep"))
+    id_, rep, label, n = fresh([key], "id", "rep", "label", "n")
+    members = lookup(members.select("id", "rep", "n"), classes, ["rep"], "size").select(F.col("id").alias(id_), F.coalesce("label", "rep").alias(label), F.col("n").alias(n))
+    out = lookup(docs.select(F.col(key), _id(key).alias(id_)), cut(members), [id_], n)
+    found = F.coalesce(label, id_)
+    return out.select(key, F.when(found != _FIRST, found).alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``docs`` without the rows whose class has a smaller key."""
+    """``docs`` without the rows whose class has a smaller key.
+
+    All rows of one key stay or go together; null texts and texts without words stay.
+    """
     classes = near_duplicates(docs, key, text, **settings)
-    gone = cut(classes.where(~F.col(key).eqNullSafe(F.col("class_id"))).select(_id(key).alias("_id")).distinct())
-    return docs.withColumn("_id", _id(key)).join(bounded(gone), "_id", "left_anti").drop("_id")
+    id_ = fresh(docs.columns, "id")[0]
+    gone = cut(classes.where(~F.col(key).eqNullSafe(F.col("class_id"))).select(_id(key).alias(id_)).distinct())
+    return docs.withColumn(id_, _id(key)).join(bounded(gone), id_, "left_anti").drop(id_)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.llm._common import ranked
+from arrayloom.llm._common import cut, fresh, ranked, spread
 
 BUCKETS = 16
 BUDGET = 65_536
@@ -80,35 +80,32 @@ def bounds_of(lengths: DataFrame, length: str, buckets: int) -> list[int]:
     are optimal however many lengths there are.
     """
     histogram = lengths.groupBy(F.col(length).alias("l")).agg(F.count(F.lit(1)).alias("n"))
-    rows = sorted((int(r["l"]), int(r["n"])) for r in histogram.collect())
-    return optimal_bounds([x for x, _ in rows], [n for _, n in rows], buckets)
+    got = histogram.orderBy("l").toArrow()
+    return optimal_bounds(got.column("l").to_pylist(), got.column("n").to_pylist(), buckets)
 
 
 def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, text: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, keep: list[str] | None = None) -> DataFrame:
-    """Add n_tokens, bucket, padded_tokens, batch and slot to every row.
+    """Add n_tokens, bucket, padded_tokens, batch and slot to every row, and drop others than ``keep``.
 
     ``length`` counts a row's tokens; by default its words.  ``bucket`` is the index
     of the least bound that holds the row, ``padded_tokens`` that bound.  In a bucket,
     rows in order of key (null first, ties by length) fill batches of as many rows as
     ``budget`` padded tokens allow, one at least: a row longer than the budget is a
-    batch by itself, whole.  ``slot`` is the place in the batch.  Null and empty texts
-    have length 0 and share the first bucket; with no rows there are no batches.
+    batch by itself, whole.  ``slot`` is the place in the batch; repeated rows have one
+    each.  Null and empty texts have length 0 and share the first bucket; with no rows
+    there are no batches.  Columns of ``docs`` that bear one of the five added names
+    are replaced, all others may be kept.
     """
     new = ["n_tokens", "bucket", "padded_tokens", "batch", "slot"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     count = F.coalesce((word_count(F.col(text)) if length is None else length).cast("long"), F.lit(0).cast("long"))
-    rows = docs.withColumn("n_tokens", count).select(*keep, "n_tokens", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("_key"))
-    bounds = bounds_of(docs.select(count.alias("n")), "n", buckets)
-    if not bounds:
-        bounds = [0]
-    # The last bound is the greatest length, so it needs no test; a bucket that cannot be
-    # null gets no null filter, which would count each row's words once a bound.
-    last = len(bounds) - 1
-    bucket, padded, room = F.lit(last), F.lit(bounds[last]), F.lit(max(1, budget // max(1, bounds[last])))
-    for i, bound in reversed(list(enumerate(bounds[:last]))):
-        here = F.col("n_tokens") <= bound
-        bucket, padded = F.when(here, i).otherwise(bucket), F.when(here, bound).otherwise(padded)
-        room = F.when(here, max(1, budget // max(1, bound))).otherwise(room)
-    rows = rows.withColumn("bucket", bucket.cast("int")).withColumn("padded_tokens", padded.cast("long")).withColumn("_room", room.cast("long"))
-    rows = ranked(rows, "bucket", "_key", "_rank", ["n_tokens"])
-    return rows.select(*keep, "n_tokens", "bucket", "padded_tokens", F.expr("_rank div _room").alias("batch"), F.expr("cast(_rank % _room as int)").alias("slot"))
+    order, room, rank = fresh(docs.columns, "key", "room", "rank")
+    rows = spread(docs).withColumn("n_tokens", count).select(*keep, "n_tokens", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias(order))
+    if text not in keep:
+        rows = cut(rows)  # so that words are counted once; texts themselves are not written for that
+    bounds = bounds_of(rows, "n_tokens", buckets) or [0]
+    table = F.array(*[F.struct(F.lit(b).cast("long").alias("bound"), F.lit(k).alias("bucket"), F.lit(max(1, budget // max(1, b))).cast("long").alias("room")) for k, b in enumerate(bounds)])
+    place = F.get(F.filter(table, lambda x: F.col("n_tokens") <= x["bound"]), F.lit(0))
+    rows = rows.withColumn(room, place).select(*keep, "n_tokens", order, F.col(room)["bucket"].alias("bucket"), F.col(room)["bound"].alias("padded_tokens"), F.col(room)["room"].alias(room))
+    rows = ranked(rows, "bucket", order, rank, ["n_tokens"])
+    return rows.select(*keep, "n_tokens", "bucket", "padded_tokens", F.expr(f"{rank} div {room}").alias("batch"), F.expr(f"cast({rank} % {room} as int)").alias("slot"))

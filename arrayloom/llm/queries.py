@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from arrayloom.llm import chat, decontaminate, language, lines, neardup, pack, shard, substrings, topk, toxicity
 from arrayloom.plans.ship import ship
 
@@ -24,7 +23,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     rows = documents.select(F.lit("documents").alias("origin"), "doc_id", F.col("text").alias("t"), F.col("source").alias("host"), none.alias("declared"), none.alias("suffix"))
     web = language.page_evidence(pages).select(F.lit("pages"), (-1 - F.col("page_id")), "_text", "_host", "_declared", "_suffix")
-    out = language.identify(rows.union(web), model, "t", "host", "declared", "suffix")
+    out = language.identify(rows.union(web), model, "t", "host", "declared", "suffix", ["origin", "doc_id"])
     return out.select("doc_id", "origin", "language", F.round("posterior", 6).alias("posterior"), "accepted")
 
 
@@ -71,14 +70,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as message records and conversation -1 as a prompt record, read back."""
-    talks = chat.conversations_as_messages(_table(spark, sf_dir, "conversations"))
-    talks = chat.turns_of(talks, ["messages"])
+    """Conversations as message records and conversation -1 as a prompt record, read back.
+
+    Both are rows of one table, so each row's fingerprint selects its mapping.
+    """
     tricky = "</s>[INST] ok [/INST]"
+    talks = chat.conversations_as_messages(_table(spark, sf_dir, "conversations"))
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(tricky).alias("prompt"), F.lit(tricky).alias("completion"))
-    extra = chat.turns_of(extra, ["prompt", "completion"])
-    rows = talks.select("conv_id", "turns").union(extra.select("conv_id", "turns"))
-    out = chat.render(rows).select("conv_id", "formatted", "pieces")
+    records = talks.unionByName(extra, allowMissingColumns=True)
+    out = chat.render(chat.turns_of(records, ["messages", "prompt", "completion"])).select("conv_id", "formatted", "pieces")
     out = out.withColumn("back", chat.parse(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("pieces")))
     return out.select(
         "conv_id",
@@ -95,12 +95,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_language_id, op2_dart_minhash, op3_exact_topk, op4_length_buckets, op5_decontaminate, op6_jump_shards, op7_substring_dedup, op8_toxicity, op9_chat_format, op10_line_dedup, pipeline]
+    own = [op1_language_id, op2_dart_minhash, op3_exact_topk, op4_length_buckets, op5_decontaminate, op6_jump_shards, op7_substring_dedup, op8_toxicity, op9_chat_format, op10_line_dedup]
     return {f.__name__: f for f in own}
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arrayloom.llm._common import ranked
+from arrayloom.llm._common import cut, ranked, spread
 from arrayloom.llm._words import mix
 
 SHARDS = 16
@@ -50,9 +50,10 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     rows share a shard.  ``slot`` is the gapless rank in the shard by key, then by
     checksum and size, so ties are repeated rows only.  A null text has size 1 and
     checksum 0, a null key is placed as key 0 (and stays null); no rows give no rows.
-    The texts themselves are not shuffled.
+    A long text counts whole.  The texts themselves are not shuffled, and other columns
+    than key and text are not read.
     """
-    rows = docs.select(
+    rows = spread(docs).select(
         F.col(key),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
@@ -60,5 +61,6 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
         F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")).alias("_key"),
     )
     rows = rows.withColumn("shard", shard_of(F.col("_key"), shards)).withColumn("grown_shard", shard_of(F.col("_key"), shards + 1))
+    rows = cut(rows)  # narrow, so that texts are read once
     out = ranked(rows, "shard", "_key", "slot", ["text_crc32", "size"])
     return out.select(key, "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

@@ -1,4 +1,11 @@
-"""Exact top-k by inner product: queries and data in cover trees, traversed together."""
+"""Exact top-k by inner product: queries and data in cover trees, traversed together.
+
+The trees' upper levels are tables: rows go to the nearest of some sampled centres, and
+each cell, or part of a large one, is a block with its centre and covering radius.  Each
+query block first visits its nearest data block, which gives every query a kth score;
+then it visits those data blocks alone whose bound reaches the worst of these.  In a
+pair of blocks, a dual search goes down both trees in the same way.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arrayloom.llm._common import arrow_map, bounded, cut, spread
+
 LEAF = 48
 DATA_BLOCK = 8192
 QUERY_BLOCK = 2048
+#: Centres at most; larger cells are blocks in parts.
+CENTRES = 4096
 _NONE = np.iinfo(np.int64).min
 
 
@@ -72,13 +83,15 @@ def _node(points: np.ndarray, rows: np.ndarray) -> Node:
     return Node(centre, float(np.sqrt(((own - centre) ** 2).sum(1).max())), [], rows)
 
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each query the ``k`` best (score, row of data); absent ones have row -1.
 
     A pair of nodes is dropped when even its best possible score, from centres and
     covering radii, is below the worst kth score of the query node.  Ties go to the
-    smaller id, so a bound equal to that score is kept.
+    smaller id, so a bound equal to that score is kept.  ``floor`` is a kth score that
+    each query has elsewhere; worse rows need not be found.
     """
+    floor = np.full(len(queries), _NONE, dtype=np.int64) if floor is None else floor
     best = np.full((len(queries), k), _NONE, dtype=np.int64)
     rows = np.full((len(queries), k), -1, dtype=np.int64)
     if not len(queries) or not len(data):
@@ -94,9 +107,6 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
         top = float(a.centre @ b.centre)
         return top + (a.norm * b.radius + b.norm * a.radius + a.radius * b.radius) * slack + 1e-9 * abs(top)
 
-    def leaves(a: Node) -> np.ndarray:
-        return a.rows
-
     q_root, d_root = cover_tree(queries, np.arange(len(queries))), cover_tree(data, np.arange(len(data)))
     todo = [(bound(q_root, d_root), q_root, d_root)]
     worst: dict[int, np.ndarray] = {}
@@ -108,18 +118,18 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
 
     while todo:
         top, a, b = todo.pop()
-        if top < best[rows_below(a), -1].min():
+        if top < np.maximum(best[rows_below(a), -1], floor[rows_below(a)]).min():
             continue
         if a.kids and (not b.kids or a.radius >= b.radius):
             pairs = [(bound(x, b), x, b) for x in a.kids]
         elif b.kids:
             pairs = [(bound(a, x), a, x) for x in b.kids]
         else:
-            q, d = leaves(a), leaves(b)
+            q, d = a.rows, b.rows
             score = q_exact[q] @ d_exact[d].T
             score = np.rint(score).astype(np.int64) if exact else score
             score[query_ids[q][:, None] == data_ids[d][None, :]] = _NONE
-            use = (score >= best[q, -1][:, None]).any(1)
+            use = (score >= np.maximum(best[q, -1], floor[q])[:, None]).any(1)
             if use.any():
                 _merge(best, rows, q[use], score[use], d, place, k)
             continue
@@ -137,6 +147,118 @@ def _merge(best: np.ndarray, rows: np.ndarray, q: np.ndarray, score: np.ndarray,
     rows[q] = np.take_along_axis(all_rows, pick, 1)
 
 
+def _by_length(ids: pa.Array, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, vectors) of the rows of each length."""
+    sizes = np.diff(np.asarray(column.offsets)) if len(column) else np.zeros(0, np.int64)
+    for length in np.unique(sizes):
+        at = np.flatnonzero(sizes == length)
+        yield at, np.ascontiguousarray(column.take(pa.array(at)).flatten().to_numpy().reshape(-1, length))
+
+
+def _centres(rows: DataFrame, n: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the numbers and vectors of at most ``n`` rows, picked by a hash, as centres."""
+    table = rows.orderBy(F.xxhash64("id", "v"), "id").limit(n).select("id", "v").toArrow()
+    out, first = {}, 0
+    if table.num_rows:
+        for _, vectors in _by_length(table.column("id").combine_chunks(), table.column("v").combine_chunks()):
+            vectors = np.unique(vectors, axis=0)
+            out[vectors.shape[1]] = np.arange(first, first + len(vectors)), vectors
+            first += len(vectors)
+    return out
+
+
+def _blocks(rows: DataFrame, centres: dict[int, tuple[np.ndarray, np.ndarray]], block: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with cell and part, and a table (cell, part, length, radius) of all blocks.
+
+    A row of a length without a centre is in the cell -length, whose centre is 0.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            cell, far = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
+            for at, vectors in _by_length(batch.column(0), batch.column(1)):
+                numbers, heads = own.get(vectors.shape[1], (np.array([-vectors.shape[1]]), np.zeros((1, vectors.shape[1]))))
+                half, step = (heads**2).sum(1) / 2, max(1, (1 << 20) // len(heads))
+                for k in range(0, len(at), step):
+                    part = vectors[k : k + step]
+                    near = (half - part @ heads.T).argmin(1)
+                    cell[at[k : k + step]] = numbers[near]
+                    far[at[k : k + step]] = np.sqrt(((part - heads[near]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell), pa.array(far)], names=["id", "v", "cell", "far"])
+
+    dealt = cut(arrow_map(rows.select("id", "v"), run, "id long, v array<double>, cell long, far double"))
+    parts = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    dealt = dealt.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int"))  # a row per centre or length
+    dealt = cut(dealt.select("id", "v", "cell", "part", "far"))
+    return dealt.drop("far"), cut(dealt.groupBy("cell", "part").agg(F.first(F.size("v")).alias("length"), F.max("far").alias("radius")))
+
+
+def _centre_of(centres: dict[int, tuple[np.ndarray, np.ndarray]], length: int, cell: np.ndarray) -> np.ndarray:
+    numbers, heads = centres.get(length, (np.array([-length]), np.zeros((1, length))))
+    return heads[np.searchsorted(numbers, cell)]
+
+
+def _pairs(asked: DataFrame, data: DataFrame, q_centres: dict, d_centres: dict) -> DataFrame:
+    """(cell, part, d_cell, d_part) for query blocks ``asked`` with a column least: the data
+    blocks whose bound reaches ``least``, or the nearest one alone where it is null.
+
+    The data blocks' table, a narrow row for each block of vectors, goes to all tasks.
+    """
+    table = data.orderBy("length", "cell", "part").toArrow()
+    blocks = tuple(table.column(c).to_numpy() for c in ("cell", "part", "length", "radius"))
+    shared = asked.sparkSession.sparkContext.broadcast((blocks, q_centres, d_centres))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (cell, part, length, radius), own, other = shared.value
+        heads, norms = {}, {}
+        for size in np.unique(length):
+            heads[size] = _centre_of(other, int(size), cell[length == size])
+            norms[size] = np.sqrt((heads[size] ** 2).sum(1))
+        for batch in batches:
+            for row in batch.to_pylist():
+                size = row["length"]
+                if size not in heads:
+                    continue
+                at = np.flatnonzero(length == size)
+                centre = _centre_of(own, size, np.array([row["cell"]]))[0]
+                top = heads[size] @ centre
+                if row["least"] is None:
+                    use = at[[int(np.argmax(top))]]
+                else:
+                    wide = float(np.sqrt(centre @ centre)) * radius[at] + norms[size] * row["radius"] + radius[at] * row["radius"]
+                    use = at[top + wide * (1 + 1e-9) + 1e-9 * np.abs(top) >= row["least"]]
+                n = len(use)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["cell"])), pa.array(np.full(n, row["part"], dtype=np.int32)), pa.array(cell[use]), pa.array(part[use].astype(np.int32))], names=["cell", "part", "d_cell", "d_part"])
+
+    return arrow_map(asked.select("cell", "part", "length", "radius", "least"), run, "cell long, part int, d_cell long, d_part int")
+
+
+def _search(asked: DataFrame, data: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, place, vec_id, score): the best of each pair of blocks; place is the query's."""
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: dict[str, list[np.ndarray]] = {"query_id": [], "place": [], "vec_id": [], "score": []}
+        a_ids, b_ids, place, floor = left.column("id").to_numpy(), right.column("id").to_numpy(), left.column("place").to_numpy(), left.column("floor").to_numpy()
+        b_parts = {v.shape[1]: (at, v) for at, v in _by_length(right.column("id"), right.column("v").combine_chunks())} if right.num_rows else {}
+        for a_at, a in _by_length(left.column("id"), left.column("v").combine_chunks()) if left.num_rows else ():
+            if a.shape[1] in b_parts:
+                b_at, b = b_parts[a.shape[1]]
+                best, rows = dual_search(a, a_ids[a_at], b, b_ids[b_at], k, floor[a_at])
+                has = rows >= 0
+                for name, own in (("query_id", a_ids), ("place", place)):
+                    out[name].append(np.repeat(own[a_at], k).reshape(-1, k)[has])
+                out["vec_id"].append(b_ids[b_at][rows[has]])
+                out["score"].append(best[has])
+        return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for c, x in out.items()})
+
+    keys = ["cell", "part", "d_cell", "d_part"]
+    left = asked.join(pairs, ["cell", "part"]).groupBy(*keys)
+    right = data.withColumnsRenamed({"cell": "d_cell", "part": "d_part"}).join(pairs, ["d_cell", "d_part"]).groupBy(*keys)
+    return cut(left.cogroup(right).applyInArrow(search, "query_id long, place long, vec_id long, score long"))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` best rows for each query.
 
@@ -145,34 +267,33 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     Null ids, null or empty vectors and vectors with a null, NaN or infinite
     component take no part; vectors of unlike length are never compared.  Repeated
     candidates count as rows of their own, repeated queries once; a query id with
-    several vectors gets the best rows over all of them.  No rows give no rows.
+    several vectors gets the best rows over all of them.  No rows give no rows; other
+    columns are not read.
 
-    Queries and data are dealt into blocks of bounded size; each pair of blocks is
-    one dual-tree search, and the few best of each pair are merged.
+    No pair of blocks is visited whose bound shows that it holds no better row.
     """
-    usable = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")).alias("v"), F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).alias("ok")).where("id is not null and v is not null and ok and size(v) > 0").drop("ok")
-    data, asked = usable(vectors), usable(queries).dropDuplicates(["id", "v"])
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
+    usable = lambda df: df.select(F.col(id_col).cast("long").alias("id"), whole.alias("v"), finite.alias("ok")).where("id is not null and v is not null and ok and size(v) > 0").drop("ok")
+    data, asked = usable(spread(vectors)), cut(usable(queries).dropDuplicates(["id", "v"]))
     n, m = data.count(), asked.count()
-    n_blocks, m_blocks = max(1, -(-n // data_block)), max(1, -(-m // query_block))
-    deal = lambda df, own, other, mine, theirs: df.select("*", F.pmod(F.xxhash64("id", "v"), F.lit(own)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(theirs))
-    data, asked = deal(data, n_blocks, m_blocks, "d", "q"), deal(asked, m_blocks, n_blocks, "q", "d")
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list[np.ndarray]] = {"query_id": [], "vec_id": [], "score": []}
-        a_ids, a = left.column("id").to_numpy(), left.column("v").combine_chunks()
-        b_ids, b = right.column("id").to_numpy(), right.column("v").combine_chunks()
-        a_len, b_len = (np.diff(np.asarray(x.offsets)) if len(x) else np.zeros(0, np.int64) for x in (a, b))
-        for length in np.intersect1d(a_len, b_len):
-            a_at, b_at = np.flatnonzero(a_len == length), np.flatnonzero(b_len == length)
-            a_vec = np.ascontiguousarray(a.take(pa.array(a_at)).flatten().to_numpy().reshape(-1, length))
-            b_vec = np.ascontiguousarray(b.take(pa.array(b_at)).flatten().to_numpy().reshape(-1, length))
-            best, rows = dual_search(a_vec, a_ids[a_at], b_vec, b_ids[b_at], k)
-            has = rows >= 0
-            out["query_id"].append(np.repeat(a_ids[a_at], k).reshape(-1, k)[has])
-            out["vec_id"].append(b_ids[b_at][rows[has]])
-            out["score"].append(best[has])
-        return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for c, x in out.items()})
-
-    found = asked.groupBy("q", "d").cogroup(data.groupBy("q", "d")).applyInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if n <= data_block and m <= query_block:  # one block each: both trees begin at their roots
+        root = {"cell": F.lit(0).cast("long"), "part": F.lit(0)}
+        pairs = data.sparkSession.range(1).select(*[c.alias(f"{side}{name}") for side in ("", "d_") for name, c in root.items()])
+        whole = asked.withColumns(root | {"place": F.xxhash64("id", "v"), "floor": F.lit(_NONE)})
+        return best(_search(whole, data.withColumns(root), pairs, k).drop("place"))
+    d_centres = _centres(data, max(1, min(CENTRES, -(-n // data_block))))
+    q_centres = _centres(asked, max(1, min(CENTRES, -(-m // query_block))))
+    data, d_blocks = _blocks(data, d_centres, data_block)
+    asked, q_blocks = _blocks(asked, q_centres, query_block)
+    asked = asked.withColumn("place", F.xxhash64("id", "v"))
+
+    seeds = cut(_pairs(q_blocks.withColumn("least", F.lit(None).cast("double")), d_blocks, q_centres, d_centres))
+    first = _search(asked.withColumn("floor", F.lit(_NONE)), data, seeds, k)
+    kth = first.groupBy("place").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(F.lit(_NONE)).alias("floor"))
+    asked = asked.join(bounded(kth), "place", "left").withColumn("floor", F.coalesce("floor", F.lit(_NONE)))
+    worst = asked.groupBy("cell", "part").agg(F.min("floor").cast("double").alias("least"))
+    more = cut(_pairs(q_blocks.join(worst, ["cell", "part"]), d_blocks, q_centres, d_centres).join(seeds, ["cell", "part", "d_cell", "d_part"], "left_anti"))
+    return best((first.union(_search(asked, data, more, k)) if more.limit(1).count() else first).drop("place"))

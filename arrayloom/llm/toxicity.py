@@ -1,17 +1,19 @@
 """Toxicity by a support vector machine with a gapped subsequence string kernel.
 
-The kernel compares tokens by their subsequences of three symbols: each occurrence
+The kernel compares windows of text by their subsequences of three symbols: each occurrence
 within a span of SPAN symbols adds DECAY to the power of its length to the feature
-of its three symbols.  So tokens with symbols inserted, or a known stem with another
-ending, stay similar.  Landmark tokens give the Nyström map in which the machine is
+of its three symbols.  So words with symbols inserted, or a known stem with another
+ending, stay similar.  Landmark windows give the Nyström map in which the machine is
 trained; since its decision is a sum over landmarks, it folds back into one weight
-per subsequence, and scoring a token is a sum of looked-up weights.
-
-The unit is the token; no sentences are formed.  Tokens carry their document's label.
-Those of clean documents are all clean; of a toxic document at least one is toxic, and
-which ones is found in turns with training.  A document scores as its strongest token.
-So the kernel spans no word boundary, but in runs of single symbols, and an insult of
-several words, each harmless alone, can be neither learned nor found.
+per subsequence, and scoring a window is a sum of looked-up weights.
+
+The training units are sentences, which end at . ! or ? before white space and at line
+ends, and carry their document's label.  A sentence is seen through its windows: every
+word, and every two neighbouring words of PAIR symbols at most.  Its decision is that of
+its strongest window, a document's that of its strongest sentence.  All sentences of
+clean documents are clean; of a toxic document at least one is toxic, and which ones,
+and by which window, is found in turns with training.  So an insult of two words, each
+harmless alone, can be learned and found; one that needs three or more cannot.
 """
 
 from __future__ import annotations
@@ -24,17 +26,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arrayloom.llm._common import arrow_map, schema_of, spread
 from arrayloom.llm._common import sample as sample_rows
-from arrayloom.llm._words import chunks, mix, powers
+from arrayloom.llm._words import CHUNK_BYTES, chunks, mix, powers
 
 SYMBOLS = 42
 SPAN = 6
 DECAY = 0.6
 LENGTH = 24
+#: Two neighbouring words of so many symbols are a window too.
+PAIR = 14
+#: Windows are scored in matrices of these widths, by their size.
+WIDTHS = (8, PAIR, LENGTH)
 #: Training sample: rows of each label at most, and bytes of a row at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 20_000
 LANDMARKS = 160
 ROUNDS = 4
+#: Times that a pair of words must come in toxic sentences to be an example.
+REPEATS = 5
 THRESHOLD = 0.7
 
 # The symbol of each byte: a-z 1 to 26, digits 27, later bytes of characters beyond
@@ -45,23 +54,29 @@ _CODE[0x30:0x3A] = 27
 _CODE[0x80:0xC0] = 28 + (np.arange(0x80, 0xC0) & 0x1F) % 14  # capitals are 32 before small letters
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_STOP = np.zeros(256, dtype=bool)
+_STOP[[0x21, 0x2E, 0x3F]] = True
 _STEPS = [(i, j) for i in range(1, SPAN - 1) for j in range(1, SPAN - i)]
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first, end, symbols): the tokens as slices of ``symbols``.
+def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, sentence, first, end, symbols): the windows as slices of ``symbols``.
 
-    Runs of single symbols are one token, as in words that are spaced out.  A token
-    longer than LENGTH becomes overlapping pieces.
+    Runs of single symbols are one word, as in words that are spaced out.  A word
+    longer than LENGTH becomes overlapping pieces.  The kth sentence is 2k for its words
+    and 2k+1 for its pairs of words.
     """
     code = _CODE[data]
     keep = code > 0
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[keep]
     word = np.cumsum(_SPACE[data])[keep]
+    stop = data == 0x0A
+    stop[:-1] |= _STOP[data[:-1]] & _SPACE[data[1:]]
+    line = np.cumsum(stop)[keep]
     symbols = code[keep]
     if not len(symbols):
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, symbols
+        return none, none, none, none, symbols
     new = np.concatenate(([True], (word[1:] != word[:-1]) | (text[1:] != text[:-1])))
     first = np.flatnonzero(new)
     size = np.diff(np.concatenate((first, [len(symbols)])))
@@ -69,16 +84,21 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     glued = np.concatenate(([False], (size[1:] == 1) & (size[:-1] == 1) & (owner[1:] == owner[:-1])))
     first, owner = first[~glued], owner[~glued]
     size = np.diff(np.concatenate((first, [len(symbols)])))
+    line = line[first]
+    sentence = np.cumsum(np.concatenate(([False], (line[1:] != line[:-1]) | (owner[1:] != owner[:-1]))))
+    pair = np.flatnonzero((sentence[1:] == sentence[:-1]) & (size[1:] + size[:-1] <= PAIR))
     half = LENGTH // 2
     pieces = np.where(size > LENGTH, -(-(size - half) // half), 1)
     inner = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     end = np.repeat(first + size, pieces)
-    first = np.repeat(first, pieces) + inner * half
-    return np.repeat(owner, pieces), first, np.minimum(end, first + LENGTH), symbols
+    start = np.repeat(first, pieces) + inner * half
+    both = lambda c: np.concatenate([np.repeat(c, pieces), c[pair]])
+    sentence = 2 * both(sentence) + (np.arange(len(start) + len(pair)) >= len(start))
+    return both(owner), sentence, np.concatenate([start, first[pair]]), np.concatenate([np.minimum(end, start + LENGTH), first[pair] + size[pair] + size[pair + 1]]), symbols
 
 
 def distinct(first: np.ndarray, end: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(matrix, which): the distinct tokens' symbols, 0 where they end, and each token's row."""
+    """(matrix, which): the distinct windows' symbols, 0 where they end, and each window's row."""
     total = np.zeros(len(symbols) + 1, dtype=np.uint64)
     np.cumsum(mix(symbols.astype(np.uint64)) * powers(len(symbols))[: len(symbols)], out=total[1:])
     key = mix((total[end] - total[first]) * powers(len(symbols), True)[first] + (end - first).astype(np.uint64))
@@ -89,22 +109,27 @@ def distinct(first: np.ndarray, end: np.ndarray, symbols: np.ndarray) -> tuple[n
 
 
 def _reach(size: np.ndarray) -> np.ndarray:
-    """The length of a token's features, if no subsequence came twice."""
+    """The length of a window's features, if no subsequence came twice."""
     total = sum(DECAY ** (2 * (i + j + 1)) * np.maximum(size - i - j, 0) for i, j in _STEPS)
     return np.sqrt(np.maximum(total, 1e-9))
 
 
 def scores(matrix: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The normalised sum of the weights of each token's subsequences."""
-    rows = matrix.astype(np.int32)
-    out = np.zeros((len(rows), *weights.shape[1:]))
-    for i, j in _STEPS:
-        at = (rows[:, : LENGTH - i - j] * SYMBOLS + rows[:, i : LENGTH - j]) * SYMBOLS + rows[:, i + j :]
-        use = rows[:, i + j :] > 0
-        got = weights[at]
-        got[~use] = 0
-        out += DECAY ** (i + j + 1) * got.sum(1)
+    """The normalised sum of the weights of each window's subsequences."""
+    out = np.zeros((len(matrix), *weights.shape[1:]))
     size = (matrix > 0).sum(1)
+    low = 0
+    for width in WIDTHS:
+        own = np.flatnonzero((size > low) & (size <= width))
+        low = width
+        for k in range(0, len(own), 8192):
+            part = own[k : k + 8192]
+            rows = matrix[part, :width].astype(np.int32)
+            for i, j in _STEPS:
+                at = (rows[:, : width - i - j] * SYMBOLS + rows[:, i : width - j]) * SYMBOLS + rows[:, i + j :]
+                got = weights[at]
+                got[rows[:, i + j :] == 0] = 0
+                out[part] += DECAY ** (i + j + 1) * got.sum(1)
     norm = _reach(size)
     return out / (norm if out.ndim == 1 else norm[:, None])
 
@@ -163,42 +188,48 @@ def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Model:
-    """Train on labelled texts; with one label alone every text scores its share."""
+    """Train on the sentences of labelled texts; with one label alone every text scores its share."""
     flat = Model(np.zeros(SYMBOLS**3, dtype=np.float32), 0.0, 0.0, 0.0)
     if not len(labels) or labels.min() == labels.max():
         share = (labels.sum() + 1) / (len(labels) + 2)
         return Model(flat.weights, 0.0, 0.0, float(np.log(share / (1 - share))))
     rng = np.random.default_rng(seed)
-    docs, firsts, ends, pieces, base = [], [], [], [], 0
+    docs, lines, firsts, ends, pieces, base, count = [], [], [], [], [], 0, 0
     for i, _, data, offsets in chunks(texts):
-        owner, first, end, symbols = tokens(data, offsets)
+        owner, sentence, first, end, symbols = windows(data, offsets)
         docs.append(owner + i)
+        lines.append(sentence + count)
         firsts.append(first + base)
         ends.append(end + base)
         pieces.append(symbols)
         base += len(symbols)
-    doc, symbols = np.concatenate(docs), np.concatenate(pieces)
+        count += int(sentence.max(initial=-1)) // 2 * 2 + 2
+    doc, line, symbols = np.concatenate(docs), np.concatenate(lines), np.concatenate(pieces)
     matrix, which = distinct(np.concatenate(firsts), np.concatenate(ends), symbols)
-    pairs = np.unique(doc * len(matrix) + which)
-    doc, token = pairs // len(matrix), pairs % len(matrix)
+    _, at = np.unique(line * len(matrix) + which, return_index=True)
+    doc, line, token = doc[at], line[at], which[at]  # each window once a sentence
     toxic = labels[doc] == 1
 
-    def strongest(score: np.ndarray) -> np.ndarray:
-        out = np.full(len(labels), score.min() if len(score) else 0.0)
-        np.maximum.at(out, doc, score[token])
+    def strongest(score: np.ndarray, by: np.ndarray = doc, n: int = len(labels)) -> np.ndarray:
+        out = np.full(n, score.min() if len(score) else 0.0)
+        np.maximum.at(out, by, score[token])
         return out
 
-    in_toxic, in_clean = np.bincount(token[toxic], minlength=len(matrix)), np.bincount(token[~toxic], minlength=len(matrix))
-    score = _first_guess(matrix, doc, token, labels)
+    in_clean = np.bincount(token[~toxic], minlength=len(matrix))
+    # A pair of words tells something only if it comes again in toxic texts.
+    word = (np.bincount(token[line % 2 == 0], minlength=len(matrix)) > 0) | (np.bincount(token[toxic], minlength=len(matrix)) >= REPEATS)
+    score = np.where(word, _first_guess(matrix, doc, token, labels), 0.0)
     clean = np.flatnonzero(in_clean > 0)
     for turn in range(ROUNDS):
-        top = strongest(score)
-        close = toxic & (score[token] >= np.where(top > 0, 0.75, 1.0)[doc] * top[doc]) & (in_clean[token] == 0)
+        heard = np.where(word, score, score.min())
+        top, peak = strongest(heard), score[token] >= strongest(score, line, count)[line]  # a sentence's strongest windows
+        close = toxic & word[token] & (score[token] >= np.where(top > 0, 0.75, 1.0)[doc] * top[doc]) & (in_clean[token] == 0)
         good = np.unique(token[close])
         if not len(good):
-            good = np.unique(token[toxic & (score[token] == top[doc])])
+            good = np.unique(token[toxic & (heard[token] == top[doc])])
         weight = np.bincount(token[close], minlength=len(matrix))[good].astype(float) if close.any() else np.ones(len(good))
-        hard = clean[np.argsort(-score[clean], kind="stable")[:4000]]
+        seen = np.unique(token[~toxic & peak])
+        hard = seen[np.argsort(-score[seen], kind="stable")[:4000]]
         bad = np.unique(np.concatenate([hard, rng.choice(clean, min(len(clean), 6000), replace=False)]))
         some = good[np.argsort(-weight, kind="stable")[: LANDMARKS // 4]]
         rest = np.setdiff1d(good, some)
@@ -208,19 +239,19 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Model:
         values, vectors = np.linalg.eigh(gram)
         ok = values > 1e-6 * values.max()
         nystrom = vectors[:, ok] / np.sqrt(values[ok])
-        use = np.concatenate([good, bad])
-        kernel = np.concatenate([scores(matrix[use[k : k + 256]], np.ascontiguousarray(z.T)) for k in range(0, len(use), 256)])
+        use, marked = np.concatenate([good, bad]), np.ascontiguousarray(z.T)
+        kernel = np.concatenate([scores(matrix[use[k : k + 256]], marked) for k in range(0, len(use), 256)])
         y = np.concatenate([np.ones(len(good)), -np.ones(len(bad))])
         cost = np.concatenate([np.minimum(weight, 20) / np.minimum(weight, 20).sum(), np.full(len(bad), 1.0 / len(bad))]) * len(use) / 2
         w, bias = _machine(kernel @ nystrom, y, cost)
         weights = z.T @ (nystrom @ w)
-        score = np.concatenate([scores(matrix[k : k + 65536], weights) for k in range(0, len(matrix), 65536)]) + bias
+        score = scores(matrix, weights) + bias
     slope, shift = _logistic(strongest(score), labels)
     return Model(weights.astype(np.float32), bias, slope, shift)
 
 
 def _first_guess(matrix: np.ndarray, doc: np.ndarray, token: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Each token's best part of four symbols, by how much more toxic documents have it."""
+    """Each window's best part of four symbols, by how much more toxic documents have it."""
     rows = matrix.astype(np.int64)
     parts = ((rows[:, :-3] * SYMBOLS + rows[:, 1:-2]) * SYMBOLS + rows[:, 2:-1]) * SYMBOLS + rows[:, 3:]
     parts[rows[:, 3:] == 0] = -1
@@ -256,29 +287,30 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add score, from 0 to 1, to every row: the strongest token of the whole text.
+    """Add score, from 0 to 1, to every row: that of the strongest sentence of the whole text.
 
-    Null and empty texts, and texts without a token of three symbols, get the score of
-    the bias alone.  Equal texts score alike.
+    Null and empty texts, and texts without a word of three symbols, get the score of
+    the bias alone.  Equal texts score alike; long texts count whole; an empty table
+    gives none.  A column called score is replaced, all others are kept.
     """
-    docs = docs.drop("score")
+    docs = spread(docs.drop("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at, names = docs.columns.index(text), [*docs.columns, "score"]
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double"
+    kind = schema_of(docs, "score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             margin = np.full(batch.num_rows, own.bias)
-            for i, j, data, offsets in chunks(batch.column(at), 4 << 20):
-                owner, first, end, symbols = tokens(data, offsets)
+            for i, j, data, offsets in chunks(batch.column(at), CHUNK_BYTES):
+                owner, _, first, end, symbols = windows(data, offsets)
                 if len(owner):
                     matrix, which = distinct(first, end, symbols)
-                    part = np.concatenate([scores(matrix[k : k + 16384], own.weights) for k in range(0, len(matrix), 16384)]) + own.bias
+                    part = scores(matrix, own.weights) + own.bias
                     best = np.full(j - i, -np.inf)
                     np.maximum.at(best, owner, part[which])
                     margin[i:j] = np.where(np.isinf(best), own.bias, best)
             value = 1 / (1 + np.exp(-np.clip(own.slope * margin + own.shift, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], names=names)
 
-    return docs.mapInArrow(run, kind)
+    return arrow_map(docs, run, kind)

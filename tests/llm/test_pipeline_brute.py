@@ -6,7 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from arrayloom.llm import language, pack
+from arrayloom.llm import language, pack, queries
 from tests.conftest import SMALL
 
 
@@ -27,45 +27,73 @@ def trigram_counts(text):
     return out
 
 
-def told(rows, model):
-    """The rows whose language is told: text likelihood times smoothed host prior."""
-    n = len(model.languages)
-    likely = {}
+def judge(rows, model):
+    """(language, posterior) of rows with text, host, declared and suffix, by Bayes' rule."""
+    names, n, strength = model.languages, len(model.languages), language.STRENGTH
+    likely, votes = [], []
     for r in rows:
         counts = trigram_counts(r["text"] or "")
-        likely[r["doc_id"]] = [language.TEMPER * sum(k * float(t[b]) for b, k in counts.items()) for t in model.table]
-    votes = defaultdict(lambda: [0.0] * n)
-    for r in rows:
-        if r["source"] is not None and r["text"] is not None:
-            own = likely[r["doc_id"]]
-            at = own.index(max(own))
-            hosts = votes[r["source"]]
-            if at < n:
-                hosts[at] += 1
-    levels = [defaultdict(lambda: [0.0] * n) for _ in range(3)]
-    for host, counts in votes.items():
-        parts = host.split(".")
-        for level, name in zip(levels, (".".join(parts[-2:]), parts[-1], ""), strict=True):
-            level[name] = [x + y for x, y in zip(level[name], counts, strict=True)]
-
-    def below(own, above):
-        return [(x + language.STRENGTH * p) / (sum(own) + language.STRENGTH) for x, p in zip(own, above, strict=True)]
-
+        own = [language.TEMPER * sum(k * float(t[b]) for b, k in counts.items()) for t in model.table]
+        likely.append(own)
+        at = own.index(max(own))
+        votes.append(at if at < n and re.search(r"[^\W\d_]", r["text"] or "") else None)
+
+    def counted(of):
+        out = defaultdict(lambda: [0.0] * n)
+        for r, vote in zip(rows, votes, strict=True):
+            if of(r) is not None:
+                out[of(r)][vote or 0] += vote is not None
+        return out
+
+    domain = lambda r: None if r["host"] is None else ".".join(r["host"].split(".")[-2:])
+    levels = [(f, counted(f)) for f in (lambda r: None if r["host"] is None else "", domain, lambda r: r["host"])]
+    voting = [(r, v) for r, v in zip(rows, votes, strict=True) if v is not None]
     out = []
-    for r in rows:
+    for r, own, vote in zip(rows, likely, votes, strict=True):
+        mine = [float(k == vote) for k in range(n)]
         prior = [1.0 / n] * n
-        if r["source"] in votes:
-            parts = r["source"].split(".")
-            for own in (levels[2][""], levels[1][parts[-1]], levels[0][".".join(parts[-2:])], votes[r["source"]]):
-                prior = below(own, prior)
-        score = [x + math.log(p) for x, p in zip(likely[r["doc_id"]], [*(p * 0.99 for p in prior), 0.01], strict=True)]
+        if r["host"] is not None:
+            for of, table in levels:
+                less = [x - y for x, y in zip(table[of(r)], mine, strict=True)]
+                prior = [(x + strength * p) / (sum(less) + strength) for x, p in zip(less, prior, strict=True)]
+        score = [x + math.log(p) for x, p in zip(own, [*(p * (1 - language.NONE) for p in prior), language.NONE], strict=True)]
+        for name, trust in (("suffix", None), ("declared", language.TRUST)):
+            value = r[name]
+            if value is not None:
+                of = [x[name] for x, _ in voting]
+                kinds = max(1, len({x for x in of if x is not None}))
+                for k in range(n):
+                    base = 1 / kinds if trust is None else trust if value == names[k] else (1 - trust) / kinds
+                    both = sum(x[name] == value and v == k for x, v in voting) - mine[k]
+                    all_ = sum(x[name] is not None and v == k for x, v in voting) - mine[k]
+                    score[k] += math.log((both + strength * base) / (all_ + strength))
+                score[n] += math.log(1 / kinds)
         best = max(score)
         sure = 1 / sum(math.exp(x - best) for x in score)
-        if score.index(best) < n and sure >= language.LEAST and re.search(r"[^\W\d_]", r["text"] or ""):
-            out.append(r)
+        accepted = score.index(best) < n and sure >= language.LEAST and re.search(r"[^\W\d_]", r["text"] or "") is not None
+        out.append((names[score.index(best)] if accepted else language.UNKNOWN, sure))
     return out
 
 
+def told(rows, model):
+    """The rows whose language is told from text and source."""
+    known = judge([{"text": r["text"], "host": r["source"], "declared": None, "suffix": None} for r in rows], model)
+    return [r for r, (name, _) in zip(rows, known, strict=True) if name != language.UNKNOWN]
+
+
+def test_language_of_documents_and_pages_against_plain_python(spark):
+    """All four kinds of evidence: pages bring markup, suffix and hosts."""
+    documents, pages = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/pages.parquet")
+    rows = [{"key": r["doc_id"], "text": r["text"], "host": r["source"], "declared": None, "suffix": None} for r in documents.collect()]
+    rows += [{"key": -1 - r["page_id"], "text": r["_text"], "host": r["_host"], "declared": r["_declared"], "suffix": r["_suffix"]} for r in language.page_evidence(pages).collect()]
+    assert len({r["suffix"] for r in rows}) > 2 and len({r["declared"] for r in rows}) > 2
+    want = dict(zip([r["key"] for r in rows], judge(rows, language.train(documents)), strict=True))
+    got = {r["doc_id"]: (r["language"], r["posterior"]) for r in queries.op1_language_id(spark, SMALL).collect()}
+    assert set(got) == set(want)
+    for key, (name, sure) in want.items():
+        assert got[key][0] == name and abs(got[key][1] - sure) < 2e-6, key
+
+
 def without_repeated_lines(rows):
     seen, out = set(), []
     for r in sorted(rows, key=lambda r: r["doc_id"]):
@@ -84,7 +112,7 @@ def without_repeated_lines(rows):
 def one_of_each_class(rows):
     sets = {}
     for r in rows:
-        words = re.findall(r"[^\x20\x09-\x0D]+", r["text"])
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), r["text"]))
         sets[r["doc_id"]] = Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
     size = {k: sum(s.values()) for k, s in sets.items()}
     parent = {k: k for k in sets}
