@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arrayloom.functions.index import floor_div
+from arrayloom.plans.sizes import near
 
 CHUNK = 1 << 16
 
@@ -17,10 +18,51 @@ def pointwise(x: DataFrame, f) -> DataFrame:
     return x.withColumn("v", f(F.col("v")))
 
 
-def with_scalar(x: DataFrame, s: DataFrame, f) -> DataFrame:
-    """f(value, scalar) for a replicated scalar, a frame of one row and column."""
-    name = s.columns[0]
-    return x.crossJoin(F.broadcast(s.select(F.col(name).alias("_s")))).withColumn("v", f(F.col("v"), F.col("_s"))).drop("_s")
+def with_scalar(x: DataFrame, s: DataFrame, **columns) -> DataFrame:
+    """The index and named columns f(value, scalar) for a replicated scalar, a frame of one row and column."""
+    both = x.crossJoin(F.broadcast(s.select(F.col(s.columns[0]).alias("_s")).limit(1)))
+    return both.select(*[c for c in x.columns if c != "v"], *[f(F.col("v"), F.col("_s")).alias(name) for name, f in columns.items()])
+
+
+def scalar_op(a: DataFrame, b: DataFrame, f) -> DataFrame:
+    """f of two replicated scalars, frames of one row and column, as a column v."""
+    left, right = a.select(F.col(a.columns[0]).alias("_a")).limit(1), b.select(F.col(b.columns[0]).alias("_b")).limit(1)
+    return left.crossJoin(F.broadcast(right)).select(f(F.col("_a"), F.col("_b")).alias("v"))
+
+
+def set_values(x: DataFrame, values: DataFrame) -> DataFrame:
+    """``x`` with the values of (i, v) in place of its own; other indices of ``values`` do nothing."""
+    new = near(values.groupBy("i").agg(F.max("v").alias("_new")))
+    return x.join(new, "i", "left").withColumn("v", F.coalesce("_new", "v")).drop("_new")
+
+
+def trace(x: DataFrame) -> DataFrame:
+    """The element of the least index, in one row."""
+    return x.agg(F.min("i").alias("i"), F.min_by("v", "i").alias("v"))
+
+
+def gather(x: DataFrame, block: Column, value: Column) -> DataFrame:
+    """(p, value, all): one value per block by a user's aggregate, and those of all blocks, in order, with each.
+
+    There are as many rows as blocks, a number that the driver sets.
+    """
+    own = x.groupBy(block.alias("p")).agg(value.alias("value"))
+    every = own.agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "value"))), lambda e: e["value"]).alias("all"))
+    return own.crossJoin(F.broadcast(every))
+
+
+def redundant_tree(sums: DataFrame, levels: int) -> DataFrame:
+    """(p, l0, l1, ...): sums over blocks 2^k (p div 2^k) and on, held by every one of these blocks.
+
+    Each level is made from the one before: a block adds its own half and that of its
+    partner.  There are as many rows as blocks, a number that the driver sets.
+    """
+    out = sums.select("p", F.col("v").alias("l0"))
+    for k in range(levels):
+        pair = Window.partitionBy(floor_div(F.col("p"), 2 ** (k + 1)))
+        half = F.when(F.pmod(F.col("p"), F.lit(2**k)) == 0, F.col(f"l{k}"))
+        out = out.withColumn(f"l{k + 1}", F.sum(half).over(pair))
+    return out
 
 
 def combine(x: DataFrame, y: DataFrame, f, keys: list[str] | None = None) -> DataFrame:
@@ -30,9 +72,11 @@ def combine(x: DataFrame, y: DataFrame, f, keys: list[str] | None = None) -> Dat
 
 
 def outer_product(x: DataFrame, r: DataFrame, f) -> DataFrame:
-    """(i, k, v): f of every element with every entry (k, v) of a replicated vector."""
-    small = F.broadcast(r.select("k", F.col("v").alias("_w")))
-    return x.crossJoin(small).select("i", "k", f(F.col("v"), F.col("_w")).alias("v"))
+    """(i, k, v): f of every element with every entry (k, v) of a replicated vector.
+
+    The vector is broadcast if it is small; else the planner pairs partitions.
+    """
+    return x.crossJoin(near(r.select("k", F.col("v").alias("_w")))).select("i", "k", f(F.col("v"), F.col("_w")).alias("v"))
 
 
 def norms(x: DataFrame, by: Column | None = None) -> DataFrame:
@@ -84,40 +128,62 @@ def centre_of_mass(x: DataFrame) -> DataFrame:
     return got.select("i", m.alias("m"), F.sqrt(m * a * b / (F.col("m1") * b + F.col("m2") * a)).alias("c"))
 
 
-def with_halo(x: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+def with_halo(x: DataFrame, radius: int, chunk: int = CHUNK, wrap: int | None = None) -> DataFrame:
     """Rows with _chunk and _own: each chunk of neighbours and ``radius`` more at its sides.
 
-    One exchange of little more than the rows themselves serves any stencil.
+    One exchange of little more than the rows themselves serves any stencil.  With
+    ``wrap``, the size of the array, the ends are neighbours: their rows come again
+    beyond the other end.
     """
     i = F.col("i")
-    near = F.array_distinct(F.array(floor_div(i - radius, chunk), floor_div(i, chunk), floor_div(i + radius, chunk)))
-    return x.withColumn("_home", floor_div(i, chunk)).withColumn("_chunk", F.explode(near)).withColumn("_own", F.col("_home") == F.col("_chunk")).drop("_home")
+    x = x.withColumn("_true", F.lit(True))
+    if wrap is not None:
+        ghosts = [F.when(i < radius, i + wrap), F.when(i >= wrap - radius, i - wrap)]
+        x = x.withColumn("_at", F.explode(F.array_compact(F.array(i, *ghosts)))).withColumn("_true", F.col("_at") == i).withColumn("i", F.col("_at")).drop("_at")
+    near_ = F.array_distinct(F.array(floor_div(i - radius, chunk), floor_div(i, chunk), floor_div(i + radius, chunk)))
+    x = x.withColumn("_home", floor_div(i, chunk)).withColumn("_chunk", F.explode(near_))
+    return x.withColumn("_own", (F.col("_home") == F.col("_chunk")) & F.col("_true")).drop("_home", "_true")
 
 
-def stencil(x: DataFrame, weights: dict[int, float], chunk: int = CHUNK) -> DataFrame:
-    """out[i] = sum of weight * in[i+offset]; missing neighbours count as 0."""
+def stencil(x: DataFrame, weights: dict[int, float], chunk: int = CHUNK, wrap: int | None = None) -> DataFrame:
+    """out[i] = sum of weight * in[i+offset]; missing neighbours count as 0, or wrap around."""
     radius = max(map(abs, weights))
     order = Window.partitionBy("_chunk").orderBy("i")
     part = lambda k: F.coalesce(F.first("v").over(order.rangeBetween(k, k)), F.lit(0.0))
     value = reduce(lambda a, b: a + b, [(F.col("v") if k == 0 else part(k)) * F.lit(w) for k, w in sorted(weights.items(), key=lambda kw: (abs(kw[0]), kw[0]))])
-    out = with_halo(x, radius, chunk).withColumn("_new", value).where("_own")
+    out = with_halo(x, radius, chunk, wrap).withColumn("_new", value).where("_own")
     return out.select("i", F.col("_new").alias("v"))
 
 
-def neighbour(x: DataFrame, offset: int, chunk: int = CHUNK) -> DataFrame:
-    """out[i] = in[i+offset]; null where there is none."""
-    order = Window.partitionBy("_chunk").orderBy("i").rangeBetween(offset, offset)
-    return with_halo(x, abs(offset), chunk).withColumn("_new", F.first("v").over(order)).where("_own").select("i", F.col("_new").alias("v"))
+def neighbours(x: DataFrame, chunk: int = CHUNK, **offsets: int) -> DataFrame:
+    """The index, the value and a named column in[i+offset] for each offset, null where there is none."""
+    order = Window.partitionBy("_chunk").orderBy("i")
+    halo = with_halo(x, max(map(abs, offsets.values())), chunk)
+    got = halo.withColumns({name: F.first("v").over(order.rangeBetween(k, k)) for name, k in offsets.items()})
+    return got.where("_own").select("i", "v", *offsets)
+
 
+def stencil_nd(x: DataFrame, coords: list[str], weights: dict[tuple[int, ...], float], shape: list[int], tile: int = 256) -> DataFrame:
+    """The d-dimensional stencil, for the rows that are there; missing neighbours count as 0.
 
-def stencil_nd(x: DataFrame, coords: list[str], weights: dict[tuple[int, ...], float], shape: list[int]) -> DataFrame:
-    """The d-dimensional stencil: contributions by offset, summed per target in the box."""
-    moves = F.array(*[F.struct(*[F.lit(-o).cast("long").alias(c) for c, o in zip(coords, off, strict=True)], F.lit(float(w)).alias("w")) for off, w in weights.items()])
-    rows = x.withColumn("_m", F.explode(moves))
-    rows = rows.select(*[(F.col(c) + F.col(f"_m.{c}")).alias(c) for c in coords], (F.col("v") * F.col("_m.w")).alias("v"))
+    Tiles carry a halo, so one exchange of little more than the rows serves all
+    neighbours.  In a tile with its halo a neighbour is a fixed distance away along the
+    row-major order, and no row of the tile itself reaches around a border.
+    """
+    radius = max(abs(k) for off in weights for k in off)
+    tiles = {c: f"_t{k}" for k, c in enumerate(coords)}
     for c, n in zip(coords, shape, strict=True):
-        rows = rows.where((F.col(c) >= 0) & (F.col(c) < n))
-    return rows.groupBy(*coords).agg(F.sum("v").alias("v"))
+        reach = F.array_distinct(F.array(*[floor_div(F.col(c) + k, tile) for k in (-radius, 0, radius)]))
+        inside = [F.when((t >= 0) & (t <= (n - 1) // tile), t) for t in (F.get(reach, F.lit(k)) for k in range(3))]
+        x = x.withColumn(tiles[c], F.explode(F.array_compact(F.array(*inside))))
+    wide = tile + 2 * radius
+    place = reduce(lambda at, c: at * wide + (F.col(c) - F.col(tiles[c]) * tile + radius), coords, F.lit(0).cast("long"))
+    own = reduce(lambda a, b: a & b, [floor_div(F.col(c), tile) == F.col(tiles[c]) for c in coords])
+    order = Window.partitionBy(*tiles.values()).orderBy("_place")
+    away = {off: reduce(lambda at, k: at * wide + k, off, 0) for off in weights}
+    part = lambda off: F.col("v") if not any(off) else F.coalesce(F.first("v").over(order.rangeBetween(away[off], away[off])), F.lit(0.0))
+    value = reduce(lambda a, b: a + b, [part(off) * F.lit(float(w)) for off, w in weights.items()])
+    return x.withColumn("_place", place).withColumn("_new", value).where(own).select(*coords, F.col("_new").alias("v"))
 
 
 def s_steps(x: DataFrame, weights: dict[int, float], steps: int, chunk: int = CHUNK) -> DataFrame:

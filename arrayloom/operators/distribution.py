@@ -55,6 +55,74 @@ def owner(array: DataFrame, table: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return rows.select(*array.columns, F.least("_whole", "_part").alias("p")).where("p IS NOT NULL")
 
 
+def from_lists(array: DataFrame, lists: DataFrame) -> DataFrame:
+    """Add p to (i, ...), the least block whose explicit list (p, i) holds the index."""
+    return array.join(lists.groupBy("i").agg(F.min("p").alias("p")), "i")
+
+
+def from_function(spark: SparkSession, blocks_: int, size: int, f) -> DataFrame:
+    """Owners (p, i) with i = f(p, k) for k below ``size``; blocks may overlap."""
+    rows = spark.range(blocks_).select(F.col("id").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))).alias("_k"))
+    return rows.select("p", f(F.col("p"), F.col("_k")).cast("long").alias("i")).distinct()
+
+
+def operate(owners: DataFrame, f) -> DataFrame:
+    """Each block's indices under an index map: rows (p, i, ...) with i = f(i)."""
+    return owners.withColumn("i", f(F.col("i")))
+
+
+def operate_blocks(owners: DataFrame, f, n: int) -> DataFrame:
+    """Each block's indices under a map to several, clipped to [0, n): distinct rows (p, i)."""
+    rows = owners.select("p", F.explode(f(F.col("i"))).alias("i")).where((F.col("i") >= 0) & (F.col("i") < n))
+    return rows.distinct()
+
+
+def operate_base(indices: DataFrame, f, n: int, p: int) -> DataFrame:
+    """The whole range under a map into [0, n), split anew into ``p`` even blocks: rows (p, i)."""
+    base = indices.select(f(F.col("i")).alias("i")).distinct()
+    return base.select(ix.block(F.col("i"), n, p).alias("p"), "i")
+
+
+def sigma(owners: DataFrame, f) -> DataFrame:
+    """A distribution from a distribution by a function from frame to frame; doubles are dropped."""
+    return f(owners).select("p", "i").distinct()
+
+
+def over_decompose(array: DataFrame, n: int, processes: int, domains: int) -> DataFrame:
+    """Add domain and p: ``domains`` even blocks for each of ``processes``."""
+    domain = ix.block(F.col("i"), n, processes * domains)
+    return array.withColumn("domain", domain).withColumn("p", ix.floor_div(domain, domains))
+
+
+def rebound(array: DataFrame, bounds: list[int]) -> DataFrame:
+    """Add p, the block of each index for the inner ``bounds`` of blocks, a setting of the driver."""
+    block = F.lit(0)
+    for b in bounds:
+        block = block + (F.col("i") >= b).cast("int")
+    return array.withColumn("p", block.cast("long"))
+
+
+def smooth_table(table: DataFrame) -> DataFrame:
+    """(p, load): three-point averages of the loads of neighbouring blocks; at the ends, of two."""
+    order = Window.orderBy("p")
+    return table.select("p", F.avg("load").over(order.rowsBetween(-1, 1)).alias("load"))
+
+
+def task_graph(spark: SparkSession, blocks_: int, steps: int) -> DataFrame:
+    """(step, p, needs): a stencil's tasks, leveled by step, and how many tasks each waits for."""
+    rows = spark.range(steps * blocks_).select(ix.floor_div(F.col("id"), blocks_).alias("step"), F.pmod(F.col("id"), F.lit(blocks_)).alias("p"))
+    inner = 3 - (F.col("p") == 0).cast("int") - (F.col("p") == blocks_ - 1).cast("int")
+    return rows.select("step", "p", F.when(F.col("step") == 0, 0).otherwise(inner).alias("needs"))
+
+
+def avoidance_cost(blocks_: int, size: int, steps: int, halo: int) -> dict[str, int]:
+    """Messages and points of a 1-D stencil with messages every ``halo`` steps, against every step."""
+    rounds = -(-steps // halo)
+    per_round = [min(halo, steps - r * halo) for r in range(rounds)]
+    more = sum(2 * (blocks_ - 1) * sum(range(h)) for h in per_round)
+    return {"messages": 2 * (blocks_ - 1) * rounds, "plain": 2 * (blocks_ - 1) * steps, "points": blocks_ * size * steps + more, "plain_points": blocks_ * size * steps}
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows (p, i) of the indices that a process has in either of two distributions."""
     return a.select("p", "i").union(b.select("p", "i")).distinct()

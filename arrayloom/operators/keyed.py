@@ -48,14 +48,15 @@ def join_by_key(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.join(b, key)
 
 
-def all_pairs(points: DataFrame, force, block: Column) -> DataFrame:
-    """out[i] = sum over j of force(i, j), by blocks of rows against blocks of columns.
+def all_pairs(points: DataFrame, force, block_rows: int = 2000) -> DataFrame:
+    """out[i] = sum over j of force(i, j), by a grid of blocks of rows and of columns.
 
-    Rows and columns carry (i, x, m); a task holds one block pair, partial sums are
-    added by i.  The all-pairs problem is quadratic by its definition.
+    Rows and columns carry (i, x, m); a task holds a pair of blocks of about
+    ``block_rows`` rows, partial sums are added by i.  There are as many pairs as the
+    rows need; the all-pairs problem is quadratic by its definition.
     """
-    rows = points.withColumn("_r", block)
-    blocks = rows.select(F.col("_r").alias("_c")).distinct()
-    left = rows.join(F.broadcast(blocks))
-    right = rows.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("m").alias("mj"), F.col("_r").alias("_c"))
-    return left.join(right, "_c").where("i <> j").groupBy("i").agg(F.sum(force).alias("v"))
+    blocks = max(1, -(-points.count() // block_rows))
+    own, every = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = points.withColumn("_r", own).withColumn("_c", every)
+    right = points.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("m").alias("mj"), own.alias("_c")).withColumn("_r", every)
+    return left.join(right, ["_r", "_c"]).where("i <> j").groupBy("i").agg(F.sum(force).alias("v"))

@@ -40,32 +40,66 @@ def truncate(a: DataFrame, low: int | None = None, high: int | None = None) -> D
     return a if high is None else a.where(F.col("i") <= high)
 
 
+def _before(totals: DataFrame, value: str, name: str, f=F.sum) -> DataFrame:
+    """Add ``name``, f over ``value`` of all chunks before each; null before the first.
+
+    Chunks are grouped again, and only the totals of groups stand in one task: a row
+    for each 2**32 indices of a dense set.
+    """
+    group = floor_div(F.col("_chunk"), CHUNK)
+    rows = totals.withColumn("_group", group)
+    above = rows.groupBy("_group").agg(f(value).alias("_all"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    above = above.select("_group", f("_all").over(earlier(Window.orderBy("_group"))).alias("_up"))
+    rows = rows.withColumn("_in", f(value).over(earlier(Window.partitionBy("_group").orderBy("_chunk")))).join(above, "_group")
+    both = F.array(F.col("_up"), F.col("_in"))
+    joined = F.coalesce(F.col("_up") + F.col("_in"), "_up", "_in") if f is F.sum else F.array_max(both)
+    return rows.withColumn(name, joined).drop("_group", "_in", "_up")
+
+
+def _chunks(a: DataFrame, chunk: int) -> DataFrame:
+    return a.withColumn("_chunk", floor_div(F.col("i"), chunk))
+
+
 def rank(a: DataFrame, name: str = "rank", chunk: int = CHUNK) -> DataFrame:
     """Add each index's place in its set, counted from 0.
 
     Indices are numbered inside chunks of neighbours; the counts of earlier chunks, a
     table ``chunk`` times smaller than the range of indices, are added by a join.
     """
-    rows = a.withColumn("_chunk", floor_div(F.col("i"), chunk))
-    counts = rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = _chunks(a, chunk)
+    counts = _before(rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n")), "_n", "_before").select("_chunk", F.coalesce("_before", F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_chunk").orderBy("i")
     rows = rows.withColumn("_row", F.row_number().over(inside) - 1)
     return rows.join(counts, "_chunk").withColumn(name, F.col("_before") + F.col("_row")).drop("_chunk", "_row", "_before")
 
 
+def ith(a: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
+    """The index at place ``k``: only the chunk that holds it is numbered."""
+    rows = _chunks(a, chunk)
+    counts = _before(rows.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n")), "_n", "_before").withColumn("_before", F.coalesce("_before", F.lit(0)))
+    here = counts.where((F.col("_before") <= k) & (F.col("_before") + F.col("_n") > k)).select("_chunk", "_before")
+    rows = rows.join(F.broadcast(here), "_chunk")  # one row, or none
+    return rows.withColumn("_row", F.row_number().over(Window.partitionBy("_chunk").orderBy("i")) - 1 + F.col("_before")).where(F.col("_row") == k).select("i")
+
+
 def prefix_sum(a: DataFrame, value: str = "v", name: str = "prefix", chunk: int = CHUNK) -> DataFrame:
-    """Add the running sum by index, by the same two levels as :func:`rank`."""
-    rows = a.withColumn("_chunk", floor_div(F.col("i"), chunk))
-    sums = rows.groupBy("_chunk").agg(F.sum(value).alias("_s"))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_chunk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    """Add the running sum by index, by the same levels as :func:`rank`."""
+    rows = _chunks(a, chunk)
+    sums = _before(rows.groupBy("_chunk").agg(F.sum(value).alias("_s")), "_s", "_before").select("_chunk", F.coalesce("_before", F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_chunk").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_row", F.sum(value).over(inside))
     return rows.join(sums, "_chunk").withColumn(name, F.col("_before") + F.col("_row")).drop("_chunk", "_row", "_before")
 
 
+def previous(a: DataFrame, name: str = "previous", chunk: int = CHUNK) -> DataFrame:
+    """Add the next smaller index of the set, null at the first."""
+    rows = _chunks(a, chunk)
+    last = _before(rows.groupBy("_chunk").agg(F.max("i").alias("_m")), "_m", "_last", F.max).select("_chunk", "_last")
+    rows = rows.withColumn(name, F.lag("i").over(Window.partitionBy("_chunk").orderBy("i"))).join(last, "_chunk")
+    return rows.withColumn(name, F.coalesce(name, "_last")).drop("_chunk", "_last")
+
+
 def relativize(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """(i, local): each index of ``inner`` in the numbering of ``outer``."""
     return rank(outer, "local").join(inner.select("i"), "i", "left_semi")
@@ -74,13 +108,21 @@ def relativize(inner: DataFrame, outer: DataFrame) -> DataFrame:
 def pieces(a: DataFrame) -> DataFrame:
     """(first, last, size): the contiguous pieces of a set.
 
-    Firsts have no left and lasts no right neighbour; the kth of each belong together.
+    Index less place is the same all through a piece, and grows from piece to piece.
+    """
+    rows = rank(a.select("i").distinct(), "k").groupBy((F.col("i") - F.col("k")).alias("g"))
+    return rows.agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count(F.lit(1)).alias("size")).drop("g")
+
+
+def over_simplify(a: DataFrame, gap: int) -> DataFrame:
+    """(first, last, size): pieces that take in gaps of at most ``gap`` missing indices.
+
+    The ranges may hold more than the set; size counts the indices of the set.
     """
-    i = a.select("i").distinct()
-    firsts = rank(i.join(i.select((F.col("i") + 1).alias("i")), "i", "left_anti"), "k")
-    lasts = rank(i.join(i.select((F.col("i") - 1).alias("i")), "i", "left_anti"), "k")
-    both = firsts.withColumnRenamed("i", "first").join(lasts.withColumnRenamed("i", "last"), "k")
-    return both.select("first", "last", (F.col("last") - F.col("first") + 1).alias("size"))
+    rows = previous(a.select("i").distinct())
+    new = F.coalesce((F.col("i") - F.col("previous") > gap + 1).cast("long"), F.lit(0).cast("long"))
+    rows = prefix_sum(rows.select("i", new.alias("v")), "v", "g").groupBy("g")
+    return rows.agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count(F.lit(1)).alias("size")).drop("g")
 
 
 def strided(a: DataFrame, stride: int) -> DataFrame:

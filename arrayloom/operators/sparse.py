@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arrayloom.plans.sizes import small
+
+#: Copies of a vector that is too large for a broadcast.
+SALTS = 8
+
 
 def build(entries: DataFrame) -> DataFrame:
     """Entries from anywhere, those of one place added."""
@@ -27,9 +32,17 @@ def transpose(a: DataFrame) -> DataFrame:
 def multiply(a: DataFrame, x: DataFrame) -> DataFrame:
     """out[i] = sum of a[i,j] * x[j]; rows without entries are absent.
 
-    Both sides meet by one exchange on j; products are added before the second.
+    A small vector goes to the entries, so that only partial sums are exchanged.  A
+    larger one is copied SALTS times and a column's entries are dealt over the copies by
+    their row, so that a full column is no single task's; the same deal serves each
+    product of an iteration.
     """
-    both = a.join(x.select(F.col("i").alias("j"), F.col("v").alias("_x")), "j")
+    right = x.select(F.col("i").alias("j"), F.col("v").alias("_x"))
+    if small(right):
+        both = a.join(F.broadcast(right), "j")
+    else:
+        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = a.withColumn("_salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int")).join(right, ["j", "_salt"])
     return both.groupBy("i").agg(F.sum(F.col("v") * F.col("_x")).alias("v"))
 
 

@@ -64,3 +64,18 @@ def banded(spark: SparkSession, n: int, bands: dict[int, float]) -> DataFrame:
 
 def toeplitz(spark: SparkSession, n: int, left: float = -1.0, diagonal: float = 2.0, right: float = -1.0) -> DataFrame:
     return banded(spark, n, {-1: left, 0: diagonal, 1: right})
+
+
+def constant(x: DataFrame, value: float) -> DataFrame:
+    """``x`` with every value set to a constant."""
+    return x.withColumn("v", F.lit(float(value)))
+
+
+def no_fill(x: DataFrame) -> DataFrame:
+    """The fill that does nothing, and the step of local diffusion that does nothing either."""
+    return x
+
+
+def predictable_points(spark: SparkSession, n: int, k: int, d: int = 2) -> DataFrame:
+    """``n`` points, each on the one of ``k`` diagonal centres whose number is i mod k."""
+    return spark.range(n).select(F.col("id").alias("i"), *[(F.pmod(F.col("id"), F.lit(k)) / F.lit(k)).alias(f"c{x}") for x in range(d)])
