@@ -107,5 +107,6 @@ def pack(docs: DataFrame, key: str = "doc_id", length: Column | None = None, tex
     table = F.array(*[F.struct(F.lit(b).cast("long").alias("bound"), F.lit(k).alias("bucket"), F.lit(max(1, budget // max(1, b))).cast("long").alias("room")) for k, b in enumerate(bounds)])
     place = F.get(F.filter(table, lambda x: F.col("n_tokens") <= x["bound"]), F.lit(0))
     rows = rows.withColumn(room, place).select(*keep, "n_tokens", order, F.col(room)["bucket"].alias("bucket"), F.col(room)["bound"].alias("padded_tokens"), F.col(room)["room"].alias(room))
-    rows = ranked(rows, "bucket", order, rank, ["n_tokens"])
+    # Ranges of rows that carry their texts are shorter.
+    rows = ranked(rows, "bucket", order, rank, ["n_tokens"], 5000 if text in keep else 25_000)
     return rows.select(*keep, "n_tokens", "bucket", "padded_tokens", F.expr(f"{rank} div {room}").alias("batch"), F.expr(f"cast({rank} % {room} as int)").alias("slot"))
