@@ -103,9 +103,12 @@ def distinct(first: np.ndarray, end: np.ndarray, symbols: np.ndarray) -> tuple[n
     np.cumsum(mix(symbols.astype(np.uint64)) * powers(len(symbols))[: len(symbols)], out=total[1:])
     key = mix((total[end] - total[first]) * powers(len(symbols), True)[first] + (end - first).astype(np.uint64))
     _, at, which = np.unique(key, return_index=True, return_inverse=True)
-    place = first[at][:, None] + np.arange(LENGTH)
-    out = np.where(place < end[at][:, None], symbols[np.minimum(place, len(symbols) - 1)], 0)
-    return out, which
+    out = np.zeros((len(at), LENGTH), dtype=np.uint8)
+    for k in range(0, len(at), 65536):
+        own = at[k : k + 65536]
+        place = first[own][:, None] + np.arange(LENGTH)
+        out[k : k + 65536] = np.where(place < end[own][:, None], symbols[np.minimum(place, len(symbols) - 1)], 0)
+    return out, which.astype(np.int32)
 
 
 def _reach(size: np.ndarray) -> np.ndarray:
@@ -114,8 +117,11 @@ def _reach(size: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(total, 1e-9))
 
 
-def scores(matrix: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The normalised sum of the weights of each window's subsequences."""
+def scores(matrix: np.ndarray, weights: np.ndarray, at_row: np.ndarray | None = None) -> np.ndarray:
+    """The normalised sum of the weights of each window's subsequences.
+
+    ``at_row``, if given, is the row of ``weights`` for each subsequence.
+    """
     out = np.zeros((len(matrix), *weights.shape[1:]))
     size = (matrix > 0).sum(1)
     low = 0
@@ -127,7 +133,7 @@ def scores(matrix: np.ndarray, weights: np.ndarray) -> np.ndarray:
             rows = matrix[part, :width].astype(np.int32)
             for i, j in _STEPS:
                 at = (rows[:, : width - i - j] * SYMBOLS + rows[:, i : width - j]) * SYMBOLS + rows[:, i + j :]
-                got = weights[at]
+                got = weights[at if at_row is None else at_row[at]]
                 got[rows[:, i + j :] == 0] = 0
                 out[part] += DECAY ** (i + j + 1) * got.sum(1)
     norm = _reach(size)
@@ -136,7 +142,7 @@ def scores(matrix: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def features(matrix: np.ndarray) -> np.ndarray:
     """The normalised features themselves, dense: for landmarks only."""
-    out = np.zeros((len(matrix), SYMBOLS**3))
+    out = np.zeros((len(matrix), SYMBOLS**3), dtype=np.float32)
     rows = matrix.astype(np.int64)
     for i, j in _STEPS:
         at = (rows[:, : LENGTH - i - j] * SYMBOLS + rows[:, i : LENGTH - j]) * SYMBOLS + rows[:, i + j :]
@@ -197,17 +203,20 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Model:
     docs, lines, firsts, ends, pieces, base, count = [], [], [], [], [], 0, 0
     for i, _, data, offsets in chunks(texts):
         owner, sentence, first, end, symbols = windows(data, offsets)
-        docs.append(owner + i)
-        lines.append(sentence + count)
-        firsts.append(first + base)
-        ends.append(end + base)
+        docs.append((owner + i).astype(np.int32))
+        lines.append((sentence + count).astype(np.int32))
+        firsts.append((first + base).astype(np.int32))  # a sample has far fewer than 2**31 bytes
+        ends.append((end + base).astype(np.int32))
         pieces.append(symbols)
         base += len(symbols)
         count += int(sentence.max(initial=-1)) // 2 * 2 + 2
     doc, line, symbols = np.concatenate(docs), np.concatenate(lines), np.concatenate(pieces)
-    matrix, which = distinct(np.concatenate(firsts), np.concatenate(ends), symbols)
-    _, at = np.unique(line * len(matrix) + which, return_index=True)
+    first, end = np.concatenate(firsts), np.concatenate(ends)
+    del docs, lines, firsts, ends, pieces
+    matrix, which = distinct(first, end, symbols)
+    _, at = np.unique(line * np.int64(len(matrix)) + which, return_index=True)
     doc, line, token = doc[at], line[at], which[at]  # each window once a sentence
+    del first, end, which, at
     toxic = labels[doc] == 1
 
     def strongest(score: np.ndarray, by: np.ndarray = doc, n: int = len(labels)) -> np.ndarray:
@@ -218,7 +227,8 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Model:
     in_clean = np.bincount(token[~toxic], minlength=len(matrix))
     # A pair of words tells something only if it comes again in toxic texts.
     word = (np.bincount(token[line % 2 == 0], minlength=len(matrix)) > 0) | (np.bincount(token[toxic], minlength=len(matrix)) >= REPEATS)
-    score = np.where(word, _first_guess(matrix, doc, token, labels), 0.0)
+    score, own, heard = np.zeros(len(matrix)), np.flatnonzero(word), word[token]
+    score[own] = _first_guess(matrix[own], doc[heard], (np.cumsum(word) - 1)[token[heard]], labels)
     clean = np.flatnonzero(in_clean > 0)
     for turn in range(ROUNDS):
         heard = np.where(word, score, score.min())
@@ -235,16 +245,21 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Model:
         rest = np.setdiff1d(good, some)
         marks = np.concatenate([some, rng.choice(rest, min(len(rest), LANDMARKS // 4), replace=False), hard[: LANDMARKS // 4], rng.choice(clean, min(len(clean), LANDMARKS // 4), replace=False)])
         z = features(matrix[np.unique(marks)])
+        used = np.flatnonzero(z.any(0))  # the subsequences that landmarks have
+        z = z[:, used].astype(np.float64)
+        at_row = np.full(SYMBOLS**3, len(used))
+        at_row[used] = np.arange(len(used))
         gram = z @ z.T
         values, vectors = np.linalg.eigh(gram)
         ok = values > 1e-6 * values.max()
         nystrom = vectors[:, ok] / np.sqrt(values[ok])
-        use, marked = np.concatenate([good, bad]), np.ascontiguousarray(z.T)
-        kernel = np.concatenate([scores(matrix[use[k : k + 256]], marked) for k in range(0, len(use), 256)])
+        use, marked = np.concatenate([good, bad]), np.concatenate([z.T, np.zeros((1, len(z)))])
+        kernel = np.concatenate([scores(matrix[use[k : k + 256]], marked, at_row) for k in range(0, len(use), 256)])
         y = np.concatenate([np.ones(len(good)), -np.ones(len(bad))])
         cost = np.concatenate([np.minimum(weight, 20) / np.minimum(weight, 20).sum(), np.full(len(bad), 1.0 / len(bad))]) * len(use) / 2
         w, bias = _machine(kernel @ nystrom, y, cost)
-        weights = z.T @ (nystrom @ w)
+        weights = np.zeros(SYMBOLS**3)
+        weights[used] = z.T @ (nystrom @ w)
         score = scores(matrix, weights) + bias
     slope, shift = _logistic(strongest(score), labels)
     return Model(weights.astype(np.float32), bias, slope, shift)
@@ -252,7 +267,7 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> Model:
 
 def _first_guess(matrix: np.ndarray, doc: np.ndarray, token: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Each window's best part of four symbols, by how much more toxic documents have it."""
-    rows = matrix.astype(np.int64)
+    rows = matrix.astype(np.int32)
     parts = ((rows[:, :-3] * SYMBOLS + rows[:, 1:-2]) * SYMBOLS + rows[:, 2:-1]) * SYMBOLS + rows[:, 3:]
     parts[rows[:, 3:] == 0] = -1
     names, index = np.unique(parts, return_inverse=True)
