@@ -138,16 +138,20 @@ def ranked(df: DataFrame, group: str, order: str, name: str, ties: list[str], bl
 
 
 def sample(df: DataFrame, label: str, key: str, rows: int, most_labels: int) -> DataFrame:
-    """At most ``rows`` rows of each label, the least by a hash of ``key``; null labels are out.
+    """At most ``rows`` values of ``key`` of each label, the least by a hash; null labels are out.
 
-    Labels are counted first, and the hash alone thins each to about four times
-    ``rows``, so the task that picks them sees no more however large ``df`` is.  Only
-    the first ``most_labels`` labels in order take part.
+    The keys of a label are counted first, by a sketch, and the hash alone thins each label
+    to about four times ``rows`` of them.  Rows of one label and key are then merged with partial aggregation, to the
+    least of each other column, so the task that picks them sees no more however large
+    ``df`` is, and a key that many rows share takes one place.  Only the first
+    ``most_labels`` labels in order take part.
     """
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(label).limit(most_labels)
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.greatest(F.approx_count_distinct(key), F.lit(1)).alias("_n")).orderBy(label).limit(most_labels)
     steps = 1 << 30
     rates = counts.select(F.col(label).alias("_label"), F.least(F.ceil(F.lit(4.0 * rows * steps) / F.col("_n")), F.lit(steps)).cast("long").alias("_rate"))
     at = F.xxhash64(key)
     thin = df.join(F.broadcast(rates), F.col(label) == F.col("_label")).where(F.pmod(at, F.lit(steps)) < F.col("_rate"))
+    others = [c for c in df.columns if c not in (label, key)]
+    thin = thin.groupBy(label, key).agg(*[F.min(c).alias(c) for c in others]) if others else thin.select(label, key).distinct()
     order = Window.partitionBy(label).orderBy(at, key)
-    return thin.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= rows).drop("_k", "_label", "_rate")
+    return thin.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= rows).drop("_k")

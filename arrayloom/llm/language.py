@@ -90,7 +90,8 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "
     """Fit the trigram model on a sample of labelled rows, chosen by a hash of the text.
 
     The bounds are ``rows`` a language, ``most_bytes`` a row and ``most_languages``
-    languages, by name; null labels and texts, and empty texts, take no part.  Trigrams
+    languages, by name; null labels and texts, and empty texts, take no part.  Equal texts
+    take one place of the sample, so a large group of copies does not fill it.  Trigrams
     are counted where the rows are: the driver gets one number per language and bucket.
     """
     usable = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= most_bytes) & (F.octet_length(text) > 0))

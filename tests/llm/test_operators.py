@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from arrayloom.llm import chat, decontaminate, language, lines, neardup, pack, queries, shard, substrings, topk, toxicity
+from arrayloom.llm._common import sample
 from arrayloom.llm._words import mix
 from tests.conftest import SMALL
 
@@ -337,6 +338,17 @@ def test_language(spark, docs):
     assert row[0]["_host"] == "a.b.fr" and row[0]["_suffix"] == "fr" and row[0]["_declared"] == "fr" and "x" not in row[0]["_text"] and row[1]["_host"] is None
 
 
+def test_samples_hold_copies_once(spark):
+    rows = [("en", "copied", i) for i in range(500)] + [("en", f"text {i}", 500 + i) for i in range(60)] + [(None, "x", 1), ("de", None, 2)]
+    df = spark.createDataFrame(rows, "label string, t string, key long")
+    got = sample(df, "label", "t", 40, 10).collect()
+    english = [r for r in got if r.label == "en"]
+    assert len(english) == len({r.t for r in english}) == 40
+    assert all(r.key == 0 for r in english if r.t == "copied")
+    assert [r for r in got if r.label is None] == []
+    assert sample(df.select("label", "t"), "label", "t", 100, 10).where("label = 'en'").count() == 61
+
+
 def test_toxicity():
     rng = random.Random(2)
     make = lambda bad: " ".join([*(rng.choice(WORDS) + rng.choice(["ab", "ing", "tion"]) for _ in range(40)), *([rng.choice(["grobian", "grobiank", "stinkard"])] if bad else [])])
