@@ -35,14 +35,15 @@ def multiply(a: DataFrame, x: DataFrame) -> DataFrame:
     A small vector goes to the entries, so that only partial sums are exchanged.  A
     larger one is copied SALTS times and a column's entries are dealt over the copies by
     their row, so that a full column is no single task's; the same deal serves each
-    product of an iteration.
+    product of an iteration.  The copies are merged with the entries by exchange: the
+    planner's estimate knows nothing of the copies and would broadcast them.
     """
     right = x.select(F.col("i").alias("j"), F.col("v").alias("_x"))
     if small(right):
         both = a.join(F.broadcast(right), "j")
     else:
         right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        both = a.withColumn("_salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int")).join(right, ["j", "_salt"])
+        both = a.withColumn("_salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int")).join(right.hint("merge"), ["j", "_salt"])
     return both.groupBy("i").agg(F.sum(F.col("v") * F.col("_x")).alias("v"))
 
 

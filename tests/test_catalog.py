@@ -181,6 +181,14 @@ def test_products_with_a_vector_beyond_a_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, sparse.multiply(a, x).collect())) == want and len(want) == 60
 
 
+def test_copies_of_a_vector_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(catalog.sparse, "small", lambda df: False)
+    out = catalog.QUERIES["sparse_multiply"](spark, SMALL)
+    assert out.count() > 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 def test_clusters_in_several_turns(spark):
     import numpy as np
 
