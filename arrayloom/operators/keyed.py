@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Partitions that a grid of pairs of blocks is dealt over at most.
+MOST_PARTS = 2000
+#: Rows and columns of a pair of blocks that are formed at once.
+TILE = 500
+
 
 def map_rows(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[c.alias(n) for n, c in columns.items()])
@@ -49,14 +56,54 @@ def join_by_key(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def all_pairs(points: DataFrame, force, block_rows: int = 2000) -> DataFrame:
-    """out[i] = sum over j of force(i, j), by a grid of blocks of rows and of columns.
-
-    Rows and columns carry (i, x, m); a task holds a pair of blocks of about
-    ``block_rows`` rows, partial sums are added by i.  There are as many pairs as the
-    rows need; the all-pairs problem is quadratic by its definition.
+    """out[i] = sum over all j but i of force(x, xj, mj), by a grid of blocks of rows and of columns.
+
+    ``points`` carry (i, x, m); ``force`` takes numpy arrays that fit together and returns
+    the force of each pair, which is null where one of the three is.  A group holds a pair
+    of blocks of about ``block_rows`` rows and forms it in tiles; partial sums are added by
+    i.  The grid is dealt by exchange over as many partitions as it has pairs, up to
+    MOST_PARTS, so that neither the planner's estimate nor the files of the input set the
+    number of tasks.  The all-pairs problem is quadratic by its definition.
     """
+    points = points.where("i is not null").select("i", F.col("x").cast("double").alias("x"), F.col("m").cast("double").alias("m"))
     blocks = max(1, -(-points.count() // block_rows))
+    parts = min(blocks * blocks, MOST_PARTS)
     own, every = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = points.withColumn("_r", own).withColumn("_c", every)
-    right = points.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("m").alias("mj"), own.alias("_c")).withColumn("_r", every)
-    return left.join(right, ["_r", "_c"]).where("i <> j").groupBy("i").agg(F.sum(force).alias("v"))
+    left = points.select("i", "x", own.alias("_r"), every.alias("_c")).repartition(parts, "_r", "_c")
+    # names of its own: Spark takes columns that both sides share for the left ones, and may drop them here
+    right = points.select(F.col("i").alias("j"), F.col("x").alias("xj"), F.col("m").alias("mj"), own.alias("_c")).withColumn("_r", every).repartition(parts, "_r", "_c")
+    tile = TILE
+
+    def doubles(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        return column.is_valid().to_numpy(), column.fill_null(0.0).to_numpy()
+
+    def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        if not (len(a) and len(b)):  # an empty side comes without columns
+            return pa.table({"i": (a["i"] if len(a) else b["j"]).slice(0, 0), "v": pa.array([], pa.float64())})
+        (has, x), (has_j, xj), (has_m, mj) = doubles(a["x"]), doubles(b["xj"]), doubles(b["mj"])
+        met, used, total = (np.zeros(len(a), t) for t in (np.int64, np.int64, np.float64))
+        known = has_j & has_m
+        i, j = a["i"].to_numpy(), b["j"].to_numpy()
+        for low in range(0, len(a), tile):
+            rows = slice(low, low + tile)
+            for start in range(0, len(b), tile):
+                cols = slice(start, start + tile)
+                with np.errstate(all="ignore"):
+                    each = force(x[rows, None], xj[None, cols], mj[None, cols])
+                take = known[cols]
+                if key[0].as_py() == key[1].as_py():  # equal indices are in blocks of one number only
+                    other = i[rows, None] != j[None, cols]
+                    met[rows] += other.sum(1)
+                    other &= take
+                    used[rows] += other.sum(1)
+                    total[rows] += np.where(other, each, 0.0).sum(1)
+                else:
+                    met[rows] += len(take)
+                    used[rows] += take.sum()
+                    total[rows] += (each if take.all() else np.where(take, each, 0.0)).sum(1)
+        out = pa.table({"i": a["i"], "v": pa.array(total, mask=~(has & (used > 0)))})
+        return out.filter(pa.array(met > 0))
+
+    keys = ["_r", "_c"]
+    sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"i {points.schema['i'].dataType.simpleString()}, v double")
+    return sums.groupBy("i").agg(F.sum("v").alias("v"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -956,7 +957,7 @@ def component_sums(spark, d):
 @query("183", "WITH p AS (SELECT s_suppkey AS i, s_acctbal AS x, s_nationkey + 1.0 AS m FROM supplier) SELECT a.i, round(sum(b.m / (1 + abs(a.x - b.x))), 6) AS v FROM p AS a JOIN p AS b ON a.i <> b.i GROUP BY 1")
 def all_pairs(spark, d):
     p = src.table(spark, d, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("x"), (F.col("s_nationkey") + 1.0).alias("m"))
-    out = keyed.all_pairs(p, F.col("mj") / (1 + F.abs(F.col("x") - F.col("xj"))))
+    out = keyed.all_pairs(p, lambda x, xj, mj: mj / (1 + np.abs(x - xj)))
     return out.select("i", F.round("v", 6).alias("v"))
 
 

@@ -189,6 +189,35 @@ def test_copies_of_a_vector_are_not_broadcast(spark, monkeypatch):
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
 
 
+def test_all_pairs_of_many_small_blocks(spark, sql, monkeypatch):
+    import numpy as np
+
+    from arrayloom.operators import keyed
+
+    bodies = [(k, None if k % 7 == 3 else float(k * k % 11), None if k % 5 == 4 else k / 2) for k in range(40)]
+    bodies += [(3, 2.0, 1.0), (None, 1.0, 1.0), (41, float("inf"), 2.0), (42, float("inf"), 3.0)]
+    frame = spark.createDataFrame(bodies, "i long, x double, m double").coalesce(1)
+    sql.execute("CREATE OR REPLACE TEMP TABLE bodies (i BIGINT, x DOUBLE, m DOUBLE)")
+    sql.executemany("INSERT INTO bodies VALUES (?, ?, ?)", bodies)
+    want = sql.sql("SELECT a.i, sum(b.m / (1 + abs(a.x - b.x))) AS v FROM bodies AS a JOIN bodies AS b ON a.i <> b.i GROUP BY 1")
+    want = repr(rows(want.columns, want.fetchall()))  # nan is not equal to nan
+    force = lambda x, xj, mj: mj / (1 + np.abs(x - xj))
+    for block_rows, tile in ((6, 2), (1000, 500)):
+        monkeypatch.setattr(keyed, "TILE", tile)
+        out = keyed.all_pairs(frame, force, block_rows)
+        assert repr(rows(out.columns, out.collect())) == want
+    assert keyed.all_pairs(frame.where("i = 3"), force).count() == keyed.all_pairs(frame.limit(0), force).count() == 0
+
+
+def test_all_pairs_are_dealt_by_their_blocks(spark):
+    """One file of points makes a task for each pair of blocks, and no copies are broadcast."""
+    from arrayloom.operators import keyed
+
+    frame = spark.range(40).selectExpr("id AS i", "cast(id AS double) AS x", "1.0D AS m").coalesce(1)
+    plan = keyed.all_pairs(frame, lambda x, xj, mj: mj + 0 * (x - xj), 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 16), REPARTITION_BY_NUM") == 2 and "BroadcastExchange" not in plan
+
+
 def test_clusters_in_several_turns(spark):
     import numpy as np
 
