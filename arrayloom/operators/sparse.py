@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,15 @@ def transpose(a: DataFrame) -> DataFrame:
     return a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
 
+def repeat(a: DataFrame, times: int) -> DataFrame:
+    """``a`` added ``times`` times to nothing, place by place.
+
+    ``a`` has one entry a place (see :func:`build`), as have its transposes; so each sum
+    is formed in the row of its entry, and nothing is exchanged.
+    """
+    return a.withColumn("v", reduce(lambda total, v: total + v, [F.col("v")] * times))
+
+
 def multiply(a: DataFrame, x: DataFrame) -> DataFrame:
     """out[i] = sum of a[i,j] * x[j]; rows without entries are absent.
 

@@ -871,7 +871,7 @@ def dense_transpose(spark, d):
     """A dense matrix of row-major numbers, its transpose added twice."""
     n = src.table(spark, d, "supplier").count()
     a = src.linear_fill(spark, [n, n]).select(F.col("i0").alias("i"), F.col("i1").alias("j"), "v")
-    return sparse.build(sparse.transpose(a).union(sparse.transpose(a)))
+    return sparse.repeat(sparse.transpose(a), 2)
 
 
 @query("165,168", "SELECT b.j AS i, round(sum(b.v * a.v), 4) AS v FROM a JOIN a AS b USING (i) WHERE a.j = 1 GROUP BY 1", "a")

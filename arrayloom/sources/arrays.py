@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from arrayloom.functions import index as ix
 
 
+#: Elements that one task makes by a rule.
+SLICE = 1 << 24
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -29,9 +33,9 @@ def delta(spark: SparkSession, n: int, at: int = 0) -> DataFrame:
 
 
 def linear_fill(spark: SparkSession, shape: list[int]) -> DataFrame:
-    """Every element's value is its row-major linear index."""
-    coords = ix.delinear(F.col("id"), shape)
-    return spark.range(math.prod(shape)).select(*[c.alias(f"i{k}") for k, c in enumerate(coords)], F.col("id").cast("double").alias("v"))
+    """Every element's value is its row-major linear index; a task makes SLICE of them at most."""
+    coords, n = ix.delinear(F.col("id"), shape), math.prod(shape)
+    return spark.range(0, n, 1, max(spark.sparkContext.defaultParallelism, -(-n // SLICE))).select(*[c.alias(f"i{k}") for k, c in enumerate(coords)], F.col("id").cast("double").alias("v"))
 
 
 def process_fill(spark: SparkSession, n: int, p: int) -> DataFrame:

@@ -218,6 +218,14 @@ def test_all_pairs_are_dealt_by_their_blocks(spark):
     assert plan.count(", 16), REPARTITION_BY_NUM") == 2 and "BroadcastExchange" not in plan
 
 
+def test_dense_transpose_exchanges_nothing(spark, monkeypatch):
+    monkeypatch.setattr(catalog.src, "SLICE", 30)
+    out = catalog.QUERIES["dense_transpose"](spark, SMALL)  # 10 suppliers
+    assert sorted(map(tuple, out.select("i", "j", "v").collect())) == [(i, j, 2.0 * (10 * j + i)) for i in range(10) for j in range(10)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and catalog.src.linear_fill(spark, [10, 20]).rdd.getNumPartitions() == 7
+
+
 def test_clusters_in_several_turns(spark):
     import numpy as np
 
