@@ -226,6 +226,13 @@ def test_dense_transpose_exchanges_nothing(spark, monkeypatch):
     assert "hashpartitioning" not in plan and catalog.src.linear_fill(spark, [10, 20]).rdd.getNumPartitions() == 7
 
 
+def test_sideways_down_with_a_long_vector(spark, sql, monkeypatch):
+    monkeypatch.setattr(catalog.sparse, "small", lambda df: False)
+    out, want = catalog.QUERIES["sideways_down"](spark, SMALL), sql.sql(catalog.SQL["sideways_down"])
+    assert rows(out.columns, out.collect()) == rows(want.columns, want.fetchall())
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_clusters_in_several_turns(spark):
     import numpy as np
 
